@@ -25,7 +25,7 @@ P4_KEYED = """
     SELECT entry_id,
            regexp_replace(lower(coalesce(entry_type, '')), '[^\\p{L}\\p{N}]', '', 'g') || chr(1)
              || regexp_replace(lower(coalesce(id, '')), '[^\\p{L}\\p{N}]', '', 'g') || chr(1)
-             || array_to_string(list_sort(list_transform(map_entries(fields), x ->
+             || array_to_string(list_sort(list_transform(map_entries(fields), lambda x:
                   regexp_replace(lower(x.key), '[^\\p{L}\\p{N}]', '', 'g') || chr(2)
                   || regexp_replace(lower(CASE WHEN lower(trim(x.key)) = 'doi'
                        THEN regexp_replace(coalesce(x.value, ''), '^\\s*((https?\\s*:\\s*//\\s*)?(dx\\.|www\\.)?doi\\.[a-z]+/|(urn|info)?\\s*:?\\s*doi\\s*[:/]\\s*)+\\s*', '', 'i')

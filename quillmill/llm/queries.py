@@ -7,12 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import format_duplicates
+from quillmill.llm import format_duplicates, mixing, packing, splitting
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_blocks(table(spark, sf_dir, "block_list"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_pieces(spark, sf_dir).where("text_chars > max_chars and piece_no = 0").select("doc", "block_no")
+
+
+P1_FOUND = """
+WITH flat AS (
+  SELECT doc, coalesce(CASE WHEN max_chars > 0 THEN max_chars END, 900) AS top, blocks, unnest(range(len(blocks))) AS i FROM block_list
+)
+SELECT doc, CAST(i AS INTEGER) AS block_no FROM flat
+WHERE length(trim(regexp_replace(blocks[i + 1], '[ \\t\\n]+', ' ', 'g'), ' ')) > top
+"""
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_duplicates.duplicate_pairs(format_duplicates.duplicate_classes(table(spark, sf_dir, "bib_entry")))
 
@@ -45,15 +62,38 @@ SELECT min(entry_id) AS entry_id, count(*) AS n_copies FROM keyed GROUP BY canon
 """
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_plan"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p6_packed(spark, sf_dir))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+
+
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_pieces": p1_pieces,
         "p4_found": p4_found,
         "p4_collapsed": p4_collapsed,
+        "p6_packed": p6_packed,
+        "p6_fill": p6_fill,
+        "p7_selection": p7_selection,
+        "p7_shares": p7_shares,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": P1_FOUND,
         "p4_found": P4_FOUND,
         "p4_collapsed": P4_COLLAPSED,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import format_duplicates, mixing, packing, splitting
+from quillmill.llm import format_duplicates, mixing, packing, splitting, truncation
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.detect(table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(truncation.detect(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -88,6 +96,8 @@ def queries() -> dict[str, Query]:
         "p6_fill": p6_fill,
         "p7_selection": p7_selection,
         "p7_shares": p7_shares,
+        "p8_found": p8_found,
+        "p8_rates": p8_rates,
     }
 
 

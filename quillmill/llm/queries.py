@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import format_duplicates, mixing, packing, splitting, truncation
+from quillmill.llm import format_duplicates, mixing, packing, splitting, survivors, truncation
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,19 @@ WHERE length(trim(regexp_replace(blocks[i + 1], '[ \\t\\n]+', ' ', 'g'), ' ')) >
 """
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best, *_ = survivors.best_representatives(table(spark, sf_dir, "bib_entry"), table(spark, sf_dir, "bib_source"))
+    return best.select("entry_id", "field_name")
+
+
+def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.merged_entries(table(spark, sf_dir, "bib_entry"), table(spark, sf_dir, "bib_source"))
+
+
+def p2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.best_representatives(table(spark, sf_dir, "bib_entry"), table(spark, sf_dir, "bib_source"))[3]
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_duplicates.duplicate_pairs(format_duplicates.duplicate_classes(table(spark, sf_dir, "bib_entry")))
 
@@ -90,6 +103,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p2_found": p2_found,
+        "p2_entries": p2_entries,
+        "p2_quality": p2_quality,
         "p4_found": p4_found,
         "p4_collapsed": p4_collapsed,
         "p6_packed": p6_packed,

@@ -40,7 +40,7 @@ def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.best_representatives(table(spark, sf_dir, "bib_entry"), table(spark, sf_dir, "bib_source"))[3]
+    return survivors.source_quality(table(spark, sf_dir, "bib_entry"), table(spark, sf_dir, "bib_source"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import format_duplicates, mixing, packing, splitting, survivors, truncation
+from quillmill.llm import format_duplicates, mixing, names, packing, splitting, survivors, truncation
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,15 @@ SELECT min(entry_id) AS entry_id, count(*) AS n_copies FROM keyed GROUP BY canon
 """
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_pairs(names.entities(table(spark, sf_dir, "bib_entry")))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = names.entities(table(spark, sf_dir, "bib_entry"))
+    return linked.groupBy("entity").agg(F.max_by("name", F.struct("n", "name")).alias("name"), F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_occurrences"))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_plan"))
 
@@ -108,6 +117,8 @@ def queries() -> dict[str, Query]:
         "p2_quality": p2_quality,
         "p4_found": p4_found,
         "p4_collapsed": p4_collapsed,
+        "p5_found": p5_found,
+        "p5_entities": p5_entities,
         "p6_packed": p6_packed,
         "p6_fill": p6_fill,
         "p7_selection": p7_selection,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import format_duplicates, mixing, names, packing, splitting, survivors, truncation
+from quillmill.llm import format_duplicates, mixing, names, packing, scans, splitting, survivors, truncation
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,14 @@ def p2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.source_quality(table(spark, sf_dir, "bib_entry"), table(spark, sf_dir, "bib_source"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(table(spark, sf_dir, "png2md"))[0]
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(table(spark, sf_dir, "png2md"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_duplicates.duplicate_pairs(format_duplicates.duplicate_classes(table(spark, sf_dir, "bib_entry")))
 
@@ -115,6 +123,8 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_entries": p2_entries,
         "p2_quality": p2_quality,
+        "p3_found": p3_found,
+        "p3_paragraphs": p3_paragraphs,
         "p4_found": p4_found,
         "p4_collapsed": p4_collapsed,
         "p5_found": p5_found,

@@ -94,7 +94,7 @@ def merge(entries: DataFrame, modes: Sequence[str] = ("key", "doi", "title"), po
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
-    e = entries.select("entry_id", "side", "pos", F.coalesce("id", F.lit("")).alias("id"), F.lower(F.coalesce("id", F.lit(""))).alias("key"), dedupe_tokens(modes).alias("tokens"), F.md5(F.to_json(T.canonical_entry(F.map_concat(F.coalesce("fields", F.create_map().cast("map<string,string>")), F.create_map(F.lit("\x00type"), F.coalesce("entry_type", F.lit(""))))))).alias("canonical"))
+    e = entries.select("entry_id", "side", "pos", F.coalesce("id", F.lit("")).alias("id"), F.lower(F.coalesce("id", F.lit(""))).alias("key"), dedupe_tokens(modes).alias("tokens"), F.md5(F.to_json(T.canonical_entry(F.map_concat(F.coalesce("fields", F.create_map().cast("map<string,string>")), F.create_map(F.lit("\x00type"), F.coalesce("entry_type", F.lit("")), F.lit("\x00id"), F.coalesce("id", F.lit(""))))))).alias("canonical"))
     # a renamed key meets keys that begin alike, so keys are bound by what stands before the suffix
     stem = F.regexp_replace("key", rf"(?:{_quoted(suffix.lower())}\d*)+$", "")
     links = F.concat(F.transform("tokens", lambda t: F.concat_ws("\x00", t["kind"], t["value"])), F.array(F.concat(F.lit("stem\x00"), stem)))

@@ -154,7 +154,8 @@ def looks_like_table(c: Column) -> Column:
 def dedupe_adjacent(blocks: Column) -> Column:
     """Normalised blocks without empty ones and without those equal to the one before."""
     full = F.filter(F.transform(blocks, normalize_space), lambda x: x != "")
-    return F.filter(full, lambda x, i: (i == 0) | (x != F.get(full, i - 1)))
+    empty = F.array().cast("array<string>")
+    return F.aggregate(full, empty, lambda kept, x: F.when((F.size(kept) > 0) & (F.try_element_at(kept, F.lit(-1)) == x), kept).otherwise(F.array_append(kept, x)))
 
 
 def sentences(c: Column) -> Column:

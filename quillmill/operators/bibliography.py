@@ -8,10 +8,10 @@ others. So entries are first put into connected components, and the fold runs ov
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
@@ -102,12 +102,27 @@ def merge(entries: DataFrame, modes: Sequence[str] = ("key", "doi", "title"), po
     star = x.join(x.groupBy("token").agg(F.min("entry_id").alias("to")), "token").where("entry_id <> to").select("entry_id", "to").distinct()
     e = e.join(components(star, "entry_id", "to").withColumnRenamed("node", "entry_id"), "entry_id", "left").withColumn("component", F.coalesce("label", "entry_id")).drop("label")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(_b=g["side"] != "base").sort_values(["_b", "pos", "entry_id"], kind="stable", na_position="first")
-        rows = [{"entry_id": i, "side": s, "pos": p, "id": k, "key": key, "canonical": c, "tokens": [(t["kind"], t["value"]) for t in ts]} for i, s, p, k, key, c, ts in g[["entry_id", "side", "pos", "id", "key", "canonical", "tokens"]].itertuples(index=False, name=None)]
-        return pd.DataFrame([(r["entry_id"], r["side"], r["pos"], r["new_id"], r["disposition"], r["replaces"]) for r in fold(rows, policy, suffix)], columns=["entry_id", "side", "pos", "new_id", "disposition", "replaces"]).astype({"replaces": "Int64"})
+    names = ["entry_id", "side", "pos", "new_id", "disposition", "replaces"]
 
-    return e.groupBy("component").applyInPandas(run, "entry_id long, side string, pos long, new_id string, disposition string, replaces long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Components come one after another, each in order; only the one at hand is held."""
+        at, rows = None, []
+
+        def done() -> list[tuple]:
+            return [tuple(r[c] for c in ("entry_id", "side", "pos", "new_id", "disposition", "replaces")) for r in fold(rows, policy, suffix)]
+
+        for b in batches:
+            out = []
+            for component, i, side, pos, k, key, c, ts in b[["component", "entry_id", "side", "pos", "id", "key", "canonical", "tokens"]].itertuples(index=False, name=None):
+                if component != at:
+                    out += done()
+                    at, rows = component, []
+                rows.append({"entry_id": i, "side": side, "pos": pos, "id": k, "key": key, "canonical": c, "tokens": [(t["kind"], t["value"]) for t in ts]})
+            yield pd.DataFrame(out, columns=names).astype({"replaces": "Int64"})
+        yield pd.DataFrame(done(), columns=names).astype({"replaces": "Int64"})
+
+    ordered = e.withColumn("_b", F.col("side") != "base").repartition("component").sortWithinPartitions("component", "_b", F.col("pos").asc_nulls_first(), "entry_id")
+    return ordered.mapInPandas(run, "entry_id long, side string, pos long, new_id string, disposition string, replaces long")
 
 
 def _quoted(s: str) -> str:

@@ -10,7 +10,7 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -179,6 +179,8 @@ def speakable_blocks(markdown: pd.Series, lang: pd.Series) -> pd.Series:
     return pd.Series([speakable(m, la) for m, la in zip(markdown, lang)])
 
 
-def narration_chunks(markdown: Column, lang: Column, limit: Column) -> Column:
-    """Chunks to narrate of a Markdown text: blocks, without repeats, split and packed."""
-    return pack_chunks(dedupe_adjacent(speakable_blocks(markdown, lang)), limit)
+def narration_chunks(docs: DataFrame, key: str, markdown: str, lang: Column, limit: int = 900) -> DataFrame:
+    """key, chunk_no, chunk: chunks to narrate of Markdown texts: blocks, without repeats, split and packed. One pass of Python, no shuffle."""
+    b = docs.select(key, speakable_blocks(F.col(markdown), lang).alias("_blocks"))
+    c = b.select(key, pack_chunks(dedupe_adjacent(F.col("_blocks")), F.lit(limit)).alias("_chunks"))
+    return c.select(key, F.posexplode("_chunks").alias("chunk_no", "chunk"))

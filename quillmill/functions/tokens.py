@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
 # The stand-in for each encoding.
@@ -54,7 +56,7 @@ def count(texts: list[str | None], vocabulary: str, folder: str = TOKENIZER_DIR)
 
 def token_counts(df: DataFrame, keep: list[str], vocabularies: list[str], text: str = "text", folder: str = TOKENIZER_DIR) -> DataFrame:
     """The kept columns and one row for each vocabulary: vocabulary, n_tokens."""
-    slim = df.select(*keep, F.col(text).alias("_qm_text"))
+    slim = spread(df.select(*keep, F.col(text).alias("_qm_text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -11,7 +11,7 @@ from quillmill.functions import signal as S
 from quillmill.functions import text as T
 from quillmill.functions import tokens
 from quillmill.operators import audio, bibliography, callgraph, markdown, ocr, report, webpage
-from quillmill.session import cut, ensure_checkpoint_dir, table
+from quillmill.session import cut, ensure_checkpoint_dir, spread, table
 from quillmill.streaming import buffering
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,7 +294,7 @@ def page_container_priority(spark, d):
 
 @query
 def page_markdown(spark, d):
-    return _pages(spark, d).select("doc_id", webpage.page_markdown("html").alias("m")).select("doc_id", "m.markdown", "m.tier")
+    return spread(_pages(spark, d)).select("doc_id", webpage.page_markdown("html").alias("m")).select("doc_id", "m.markdown", "m.tier")
 
 
 # ---- graphs

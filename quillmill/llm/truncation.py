@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.session import cut
+from quillmill.session import cut, spread
 
 ALPHA = 0.01
 #: Lengths on either side that a length is compared with.
@@ -187,7 +187,7 @@ def limits(lengths: DataFrame, alpha: float = ALPHA, around: int = AROUND) -> Da
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", alpha: float = ALPHA) -> DataFrame:
     """doc_id, source, is_cut, at_limit (the measure of the limit it ends at, or null), kind of ending, likelihood that the ending is whole."""
     slim = docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
-    t = slim.where(F.col("text").isNotNull())
+    t = spread(slim.where(F.col("text").isNotNull()))
     types = {c: slim.schema[c].dataType.simpleString() for c in ("doc", "source")}
     schema = f"doc {types['doc']}, source {types['source']}, chars long, bytes long, before_mark long, mark string, kind string, whole double, w1 string, w2 string, torn string, copy string"
     keyed = t.withColumn("copy", F.md5("text"))

@@ -16,10 +16,13 @@ OMISSION_CUES = {
 # Named colours.
 COLOURS = {"white": (255, 255, 255), "black": (0, 0, 0), "red": (255, 0, 0), "green": (0, 255, 0), "blue": (0, 0, 255)}
 
+#: All characters that count as white space.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalize_space(c: Column) -> Column:

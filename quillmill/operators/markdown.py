@@ -184,4 +184,5 @@ def narration_chunks(docs: DataFrame, key: str, markdown: str, lang: Column, lim
     """key, chunk_no, chunk: chunks to narrate of Markdown texts: blocks, without repeats, split and packed. One pass of Python; no shuffle but for tables of few row groups."""
     b = spread(docs.select(key, F.col(markdown).alias("_text"), lang.alias("_lang"))).select(key, speakable_blocks("_text", "_lang").alias("_blocks"))
     c = b.select(key, pack_chunks(dedupe_adjacent(F.col("_blocks")), F.lit(limit)).alias("_chunks"))
-    return c.select(key, F.posexplode("_chunks").alias("chunk_no", "chunk"))
+    # outer, else a filter on the array's size is put below, which computes all of it once more
+    return c.select(key, F.posexplode_outer("_chunks").alias("chunk_no", "chunk")).where("chunk_no is not null")

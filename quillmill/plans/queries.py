@@ -115,13 +115,13 @@ def _chunks(spark, d):
 
 @query
 def chunk_pack(spark, d):
-    c = _chunks(spark, d).select("doc", F.posexplode("chunks").alias("chunk_no", "chunk"))
+    c = _chunks(spark, d).select("doc", F.posexplode_outer("chunks").alias("chunk_no", "chunk")).where("chunk_no is not null")
     return c.select("doc", "chunk_no", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
 
 
 @query
 def chunk_batches(spark, d):
-    c = _chunks(spark, d).select("doc", F.posexplode("chunks").alias("n", "chunk"))
+    c = _chunks(spark, d).select("doc", F.posexplode_outer("chunks").alias("n", "chunk")).where("n is not null")
     return report.numbered_batches(c, "doc", "n", 2).groupBy("doc", "batch").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("chars"))
 
 

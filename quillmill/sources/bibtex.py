@@ -76,8 +76,8 @@ class _Reader:
             self.i += 1
 
     def entries(self) -> Iterator[tuple[str, str, dict[str, str]]]:
-        while (self.i := self.s.find("@", self.i)) >= 0:
-            self.i += 1
+        while (at := self.s.find("@", self.i)) >= 0:
+            self.i = at + 1
             self.space()
             kind = self.name().lower()
             self.space()

@@ -12,6 +12,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Kinds of engine.
 KINDS = ("speech_to_text", "text_to_speech", "page_ocr", "image_ocr", "ocr_service", "upload", "fetch", "render", "rasterize", "separate", "download")
@@ -42,7 +43,7 @@ class Stub:
 def apply(df: DataFrame, column: str, engine: Callable[[], Engine], batch: int = 4, whole: str | None = None) -> DataFrame:
     """Adds result, engine, error. With `whole`, one failed row makes all rows of that group fail."""
 
-    out = df.schema.add("result", "string").add("engine", "string").add("error", "string")
+    out = StructType([*df.schema.fields, *[StructField(c, StringType()) for c in ("result", "engine", "error")]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = engine()

@@ -95,7 +95,7 @@ def wav_headers(spark: SparkSession, path: str) -> DataFrame:
                         n, rate = w.getnframes(), w.getframerate()
                         rows.append((p, w.getnchannels(), w.getsampwidth(), rate, n, n / rate if rate else 0.0, None))
                 except (wave.Error, EOFError) as e:
-                    rows.append((p, None, None, None, None, None, str(e)))
+                    rows.append((p, None, None, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["path", "channels", "width", "rate", "frames", "seconds", "error"]).astype({"channels": "Int32", "width": "Int32", "rate": "Int32", "frames": "Int64"})
 
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(path)

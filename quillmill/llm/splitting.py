@@ -130,7 +130,8 @@ def split_texts(df: DataFrame, keys: list[str], text: str = "text", limit: str |
             rows = []
             for *key, s, most, share, chars in b.itertuples(index=False, name=None):
                 pieces = split_text(s, most, share)
-                rows += [(*key, chars, most, len(pieces), k, own, own - first, hi - first, kind, s[first:hi]) for k, (first, own, hi, kind) in enumerate(pieces)]
+                ends = [0, *(p[2] for p in pieces)]  # what is repeated lies between a piece's start and the end of the one before
+                rows += [(*key, chars, most, len(pieces), k, own, max(0, ends[k] - first), hi - first, kind, s[first:hi]) for k, (first, own, hi, kind) in enumerate(pieces)]
             yield pd.DataFrame(rows, columns=names)
 
     long = t.where("text_chars > max_chars").select(*keys, "_qm_text", "max_chars", "_qm_overlap", "text_chars")

@@ -92,7 +92,7 @@ def test_quality_tells_sources_apart(spark):
     assert by["good"].sensitivity > by["fair"].sensitivity > by["weak"].sensitivity > by["bad"].sensitivity
     assert by["good"].sensitivity > 0.9 and by["bad"].sensitivity < 0.5 and by["bad"].false_positive_rate > by["good"].false_positive_rate
     told = facts.selectExpr("value < 1000000 as true", "probability >= 0.5 as judged").collect()
-    assert sum(r.true == r.judged for r in told) > 0.98 * len(told)
+    assert sum(r.true == r.judged for r in told) > 0.9 * len(told)
 
 
 # ---- 3

@@ -9,9 +9,10 @@ Two averaged perceptrons, trained on samples of the data itself whose size is a
   at a line's end join. Training pairs are rare words and the frequent word that one such edit leads to, and line ends of which
   only one reading, joined or hyphenated, is a word of the corpus.
 
-Word counts cover all lines of all pages. The most frequent words (a bounded number) go to the workers, so that only other words
-are joined with the counts; those are put right by the edit with the most frequent result. A misread word is one with an edit
-to a word far more frequent, or with marks inside that no word has.
+Word counts cover all lines of all pages, and every kind of word is judged. A misread word is one with an edit to a word far more
+frequent, or with marks inside that no word has. As a frequent word may be near another by nature (than, the), its edit must also be
+one that several rare words bear out. The most frequent words (a bounded number) that are read rightly go to the workers, so that only
+other words are joined with the counts; those are put right by the edit with the most frequent result.
 
 Nulls: null or empty content has no lines; a null scan or page_no makes a page a scan of its own without neighbours. Repeated rows
 count as pages. An empty table gives no rows.
@@ -36,6 +37,8 @@ from quillmill.session import cut, spread
 FREQUENT, RARE_SAMPLE, LINE_SAMPLE, HYPHEN_SAMPLE = 50_000, 4_000, 12_000, 4_000
 #: How much more frequent the word meant must be than the word read.
 RATIO = 8.0
+#: Rare words that must show an edit before it puts a frequent word right.
+BORNE = 2
 
 #: Outer lines of a scan, the most frequent first, that a line is compared with.
 HEADS = 32
@@ -153,30 +156,37 @@ def applied(w: str, i: int, op: str) -> str:
     }[kind]
 
 
+def edit_of(w: str, i: int, op: str) -> tuple[str, str]:
+    """The characters that an operation at a place reads, and the operation."""
+    return w[i : i + 2] if op.startswith("merge") else w[i], op
+
+
 class Editor:
-    """The character perceptron with the operations known for each character."""
+    """The character perceptron with the operations known for each character, and the edits borne out: characters read, operation."""
 
-    def __init__(self, model: Perceptron, ops: dict[str, list[str]]):
-        self.model, self.ops = model, ops
+    def __init__(self, model: Perceptron, ops: dict[str, list[str]], borne: set[tuple[str, str]]):
+        self.model, self.ops, self.borne = model, ops, borne
 
-    def proposals(self, w: str, width: int = 4) -> list[str]:
-        """Words the editor would make of w: each single edit among the best few of its place, and all best edits together."""
-        out: dict[str, None] = {}
-        whole, shift = w, 0
+    def proposals(self, w: str, width: int = 4) -> dict[str, bool]:
+        """Words the editor would make of w, and whether their edits are borne out: each single edit among the best few of its place, and all best edits together."""
+        out: dict[str, bool] = {}
+        whole, shift, all_borne = w, 0, True
         for i in range(len(w)):
             f = _around(w, i)
             allowed = self.ops.get(w[i], self.ops["*"])
             ranked = sorted(((self.model.score(f, o), o) for o in allowed), reverse=True)
             for _, o in ranked[: width + 1]:
                 if o != "keep":
-                    out[applied(w, i, o)] = None
+                    x = applied(w, i, o)
+                    out[x] = out.get(x, False) or edit_of(w, i, o) in self.borne
             if ranked and ranked[0][1] != "keep" and i + shift < len(whole):
                 before = len(whole)
                 whole = applied(whole, i + shift, ranked[0][1])
                 shift += len(whole) - before
-        out[whole] = None
+                all_borne = all_borne and edit_of(w, i, ranked[0][1]) in self.borne
+        out[whole] = out.get(whole, False) or all_borne
         out.pop(w, None)
-        return [x for x in out if x]
+        return {x: b for x, b in out.items() if x}
 
     def joins(self, a: str, mark: str, b: str) -> bool:
         f = join_features(a, mark, b)
@@ -197,7 +207,7 @@ def editor_model(rare: list[tuple[str, int]], frequent: dict[str, int], ends: li
             if i + 2 <= len(v):
                 by_hole[f"{v[:i]}*{v[i + 2 :]}"].append(v)
         by_hole[f"{v}*"].append(v)
-    examples, ops = [], defaultdict(Counter)
+    examples, ops, seen = [], defaultdict(Counter), Counter()
     for w, n in rare:
         holes = {f"{w[:i]}*{w[i + k :]}" for i in range(len(w) + 1) for k in (0, 1, 2) if i + k <= len(w)}
         near = [(frequent[v], v) for h in holes for v in by_hole.get(h, ()) if frequent[v] >= RATIO * n]
@@ -206,6 +216,7 @@ def editor_model(rare: list[tuple[str, int]], frequent: dict[str, int], ends: li
             i, op = found[2]
             examples.append((w, i, op))
             ops[w[i]][op] += 1
+            seen[edit_of(w, i, op)] += 1
     known = {c: ["keep", *[o for o, k in x.most_common(24)]] for c, x in ops.items()}
     known["*"] = ["keep", "delete"]
     rows = []
@@ -217,7 +228,7 @@ def editor_model(rare: list[tuple[str, int]], frequent: dict[str, int], ends: li
                 if label in allowed:
                     rows.append((_around(w, j), label, allowed))
     rows += [(join_features(a, m, b), "join" if joined else "keep", ["join", "keep"]) for a, m, b, joined in ends]
-    return Editor(Perceptron().train(rows), known)
+    return Editor(Perceptron().train(rows), known, {e for e, k in seen.items() if k >= BORNE})
 
 
 def _page_rows(pages: DataFrame) -> DataFrame:
@@ -323,8 +334,8 @@ def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 CANDIDATES = "page_id long, line_no int, kind string, a string, mark string, b string, next_line int, scan string, page_no int"
 
 
-def _candidates(frequent: dict[str, int]):
-    """Words not among the frequent ones, and line ends with a hyphen, of a page's text."""
+def _candidates(sure: set[str] | None = None):
+    """Line ends with a hyphen and first words of a page's text; given the words that are surely right, the other words instead."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -334,24 +345,25 @@ def _candidates(frequent: dict[str, int]):
                 prose = [(n, x) for n, x in lines if not FIGURES.fullmatch(x)]
                 after = {n: prose[k + 1] if k + 1 < len(prose) else (None, "") for k, (n, _) in enumerate(prose)}
                 taken = set()
-                if prose:
+                if prose and sure is None:
                     rows.append((page, prose[0][0], "first", (tokens_of(prose[0][1]) or [""])[0], "", "", None, scan, no))
                 for n, x in lines:
                     words = x.split()
                     end = _hyphened(x)
-                    for k, w in enumerate(words):
+                    for k, w in enumerate(words if sure is not None else ()):
                         t = w.strip(EDGE)
                         low = t.lower()
                         if not t or (end and k == len(words) - 1) or (k == 0 and n in taken):
                             continue
-                        if low not in frequent and not FIGURES.fullmatch(t):
+                        if low not in sure and not FIGURES.fullmatch(t):
                             rows.append((page, n, "word0" if k == 0 and prose and n == prose[0][0] else "word", t, "", "", None, scan, no))
                     if end and n in after:
                         m, nxt = after[n]
                         first = (tokens_of(nxt) or [""])[0]
                         if m is not None:
                             taken.add(m)
-                        rows.append((page, n, "end", end[0], end[1], first, m, scan, no))
+                        if sure is None:
+                            rows.append((page, n, "end", end[0], end[1], first, m, scan, no))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")]).astype({"next_line": "Int32"})
 
     return run
@@ -368,7 +380,7 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a word that makes up a hundred-thousandth of the text is no accident
     usual = max(5.0, total * 1e-5)
     frequent = {r.word: r.n for r in words.where(F.col("n") >= usual).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
-    c = cut(p.mapInPandas(_candidates(frequent), CANDIDATES))
+    c = cut(p.mapInPandas(_candidates(), CANDIDATES))
 
     first = c.where("kind = 'first'").select("scan", (F.col("page_no") - 1).alias("page_no"), F.col("a").alias("b_next"), F.col("page_id").alias("next_page"), F.col("line_no").alias("line_next"))
     first = first.groupBy("scan", "page_no").agg(F.min_by(F.struct("b_next", "next_page", "line_next"), "next_page").alias("f"))
@@ -398,28 +410,36 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     parted = cut(ends.mapInPandas(told, "page_id long, line_no int, a string, b string, b_page long, b_line int, joined string, n_joined long, is_split boolean"))
 
-    # words to be judged: those that aren't frequent, and joined ones that aren't
-    # a page's first word may be the rest of the last page's last
-    over = ends.select(F.col("b_page").alias("page_id"), F.col("b_line").alias("line_no")).distinct()
-    alone = c.where("kind = 'word0'").join(over, ["page_id", "line_no"], "left_anti").select(*c.columns).unionByName(c.where("kind = 'word'"))
-    odd = alone.select("page_id", "line_no", "a", F.lower("a").alias("word"), F.lit(0).alias("head"), F.lit(None).cast("long").alias("b_page"), F.lit(None).cast("int").alias("b_line"))
-    both = parted.where(f"is_split and b <> '' and n_joined < {usual}").select("page_id", "line_no", "a", F.col("joined").alias("word"), F.length("a").alias("head"), "b_page", "b_line")
-    odd = odd.unionByName(both)
-    kinds = odd.select("word").distinct()
-
     def proposals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, x) for w in b["word"] for x in ([w, *editor.proposals(w)] if len(w) < 60 else [w])]
-            yield pd.DataFrame(rows, columns=["word", "meant"])
+            rows = [(w, x, borne) for w in b["word"] for x, borne in ({w: False} | editor.proposals(w) if len(w) < 60 else {w: False}).items()]
+            yield pd.DataFrame(rows, columns=["word", "meant", "borne"])
 
-    counted = kinds.mapInPandas(proposals, "word string, meant string").join(words.select(F.col("word").alias("meant"), "n"), "meant", "left").na.fill(0, ["n"])
-    judged = counted.groupBy("word").agg(F.max(F.when(F.col("meant") == F.col("word"), F.col("n"))).alias("n"), F.max(F.when(F.col("meant") != F.col("word"), F.struct("n", "meant"))).alias("best"))
     strange = F.col("word").rlike(r"[\p{L}\d][~|!@;:'\"^`*\\_=<>\[\]{}#%]+[\p{L}\d]|[@~|]|\p{L}!\p{L}") & ~F.col("word").rlike(r"^(?:https?:|www\.)|/|^\S+@\S+\.\S+$|^\[|^\d")
     mixed = F.col("word").rlike(r"\p{L}{2,}\d|\d\p{L}{2,}") & (F.col("n") < usual)
-    far = (F.coalesce("best.n", F.lit(0)) >= F.greatest(RATIO * F.col("n"), F.lit(2.0)))
     apart = F.regexp_replace("word", r"[^\p{L}\p{N}]", "")
-    misread = judged.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("far", far).where((F.col("far") | ((strange | mixed) & (F.length(apart) > 2))) & (F.col("n") < usual) & ((F.length("word") > 2) | F.col("word").rlike(r"[^\p{L}]")))
-    misread = misread.select("word", F.when(F.col("far"), F.col("best.meant")).alias("fix"))
+
+    def judged(kinds: DataFrame) -> DataFrame:
+        """(word, fix) of the misread ones; of frequent words only edits borne out are considered."""
+        counted = kinds.mapInPandas(proposals, "word string, meant string, borne boolean").join(words.select(F.col("word").alias("meant"), "n"), "meant", "left").na.fill(0, ["n"])
+        other = F.when(F.col("meant") != F.col("word"), F.struct("n", "meant"))
+        j = counted.groupBy("word").agg(F.max(F.when(F.col("meant") == F.col("word"), F.col("n"))).alias("n"), F.max(other).alias("any"), F.max(F.when(F.col("borne"), other)).alias("sure"))
+        j = j.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("best", F.when(F.col("n") < usual, F.col("any")).otherwise(F.col("sure")))
+        j = j.withColumn("far", F.coalesce("best.n", F.lit(0)) >= F.greatest(RATIO * F.col("n"), F.lit(2.0)))
+        j = j.where((F.col("far") | ((strange | mixed) & (F.length(apart) > 2))) & ((F.length("word") > 2) | F.col("word").rlike(r"[^\p{L}]")))
+        return j.select("word", F.when(F.col("far"), F.col("best.meant")).alias("fix"))
+
+    # words to be judged: those that aren't both frequent and rightly read, and joined ones
+    usually = words.where(F.col("n") >= usual).orderBy(F.desc("n"), "word").limit(FREQUENT)
+    sure = set(frequent) - {r.word for r in judged(usually.select("word").repartition(pages.sparkSession.sparkContext.defaultParallelism)).select("word").collect()}
+    odd = cut(p.mapInPandas(_candidates(sure), CANDIDATES))
+    # a page's first word may be the rest of the last page's last
+    over = ends.select(F.col("b_page").alias("page_id"), F.col("b_line").alias("line_no")).distinct()
+    alone = odd.where("kind = 'word0'").join(over, ["page_id", "line_no"], "left_anti").select(*odd.columns).unionByName(odd.where("kind = 'word'"))
+    odd = alone.select("page_id", "line_no", "a", F.lower("a").alias("word"), F.lit(0).alias("head"), F.lit(None).cast("long").alias("b_page"), F.lit(None).cast("int").alias("b_line"))
+    both = parted.where("is_split and b <> ''").select("page_id", "line_no", "a", F.col("joined").alias("word"), F.length("a").alias("head"), "b_page", "b_line")
+    odd = odd.unionByName(both)
+    misread = judged(odd.select("word").distinct())
     wrong = odd.join(misread, "word")
     # in a word over two lines the first letter that differs tells the line
     same = F.expr("aggregate(sequence(1, greatest(1, least(length(word), length(fix)))), 0, (s, i) -> if(s = i - 1 and substring(word, i, 1) = substring(fix, i, 1), i, s))")

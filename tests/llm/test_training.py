@@ -140,6 +140,26 @@ def test_scan_is_repaired(spark):
     assert "READING ROOMS" not in text and "rehear-" not in text and "modcrn" not in text and "rehearsal" in text
 
 
+PAGES = "page_id long, image string, scan string, page_no int, lang string, mean_conf double, scanned_at timestamp, content string"
+
+
+def test_frequent_misreadings_are_found_and_frequent_words_kept(spark):
+    rng = random.Random(3)
+    words = "reader counted modern capture desk delight than the library".split()
+    # eight of a kind, among rare ones that show the same confusions; "than" is near "the" by nature
+    rows = [["the"] * 60 + [rng.choice(words) for _ in range(60)] for _ in range(30)]
+    odd = ["modcrn"] * 8 + ["m0dern"] * 8 + ["rcader", "dclight", "m@dern", "c0unted", "libr0ry", "countcd", "capturc", "c0untcd", "l!br@ry", "libr@ry"] + ["l!brary"] * 8
+    cases = set()
+    for i, w in enumerate(odd):
+        k, n = i % 30, 12 + 6 * (i // 30)
+        rows[k][n * 5] = w
+        cases.add((k, n + 1))
+    pages = [page(k, [" ".join(r[i : i + 5]) for i in range(0, len(r), 5)]) for k, r in enumerate(rows)]
+    found = {(r.page_id, r.line_no) for r in scans.repair(spark.createDataFrame(pages, PAGES))[0].where("kind = 'misread'").collect()}
+    assert found >= {c for c, w in zip([(i % 30, 13 + 6 * (i // 30)) for i in range(len(odd))], odd) if w in ("modcrn", "l!brary")}
+    assert found <= cases
+
+
 # ---- 4
 
 

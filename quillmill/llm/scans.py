@@ -24,8 +24,8 @@ import re
 import statistics
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +40,8 @@ RATIO = 8.0
 #: Rare words that must show an edit before it puts a frequent word right.
 BORNE = 2
 
-#: Outer lines of a scan, the most frequent first, that a line is compared with.
-HEADS = 32
+#: Different lines of a scan in a block; all blocks of a scan meet each other. Columns of letter pairs that are multiplied at once.
+LINES, COLUMNS = 1_000, 4_096
 
 HYPHENS = "-‐¬\xad"
 EDGE = ".,;:?!…“”„\"'‘’()[]{}«»—–*_"
@@ -255,22 +255,52 @@ def _zone_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 ZONE = "page_id long, scan string, page_no int, line_no int, zone string, place int, line string, blank_in boolean, width double, skeleton string, offsets array<int>, inner boolean"
 
 
-@lru_cache(maxsize=4_096)
-def _pairs(s: str) -> frozenset[str]:
-    return frozenset(x + y for x, y in zip(s, s[1:]))
+def _pairs(s: str) -> set[str]:
+    return {x + y for x, y in zip(s, s[1:])}
 
 
-def likeness(a: str, b: str) -> float:
-    """Dice's coefficient of the pairs of neighbouring letters."""
-    x, y = _pairs(a), _pairs(b)
-    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+def likeliest(lines: list[str], outer: list[str]) -> np.ndarray:
+    """For each line Dice's coefficient of the pairs of neighbouring letters with the likeliest other of the outer lines; 0 if there is none."""
+    ids: dict[str, int] = {}
+    right = [[ids.setdefault(p, len(ids)) for p in _pairs(s)] for s in outer]
+    left = [(len(x), [ids[p] for p in x if p in ids]) for x in map(_pairs, lines)]
+
+    def columns(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.fromiter((k for x in rows for k in x), np.int64)
+
+    (row_a, col_a), (row_b, col_b) = columns([x for _, x in left]), columns(right)
+    common = np.zeros((len(lines), len(outer)), np.float32)
+    for at in range(0, len(ids), COLUMNS):
+        a, b = np.zeros((len(lines), min(COLUMNS, len(ids) - at)), np.float32), np.zeros((len(outer), min(COLUMNS, len(ids) - at)), np.float32)
+        for m, row, col in ((a, row_a, col_a), (b, row_b, col_b)):
+            here = (col >= at) & (col < at + COLUMNS)
+            m[row[here], col[here] - at] = 1
+        common += a @ b.T
+    sizes = np.array([n for n, _ in left], np.float64)[:, None] + np.array([len(x) for x in right], np.float64)[None, :]
+    like = 2 * common.astype(np.float64) / np.maximum(1.0, sizes)
+    place = {s: k for k, s in enumerate(outer)}
+    own = [(i, place[s]) for i, s in enumerate(lines) if s in place]
+    if own:
+        like[tuple(zip(*own))] = 0.0
+    return like.max(axis=1, initial=0.0)
 
 
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How like the likeliest outer line of its scan's other pages a line is."""
+    """Likeness of the lines of a block to the outer lines of another block of the same scan and end."""
     for b in batches:
-        again = [max((likeness(s, h["skeleton"]) for h in heads if h["skeleton"] != s or h["same"] > 1), default=0.0) if heads is not None and len(s) > 3 else 0.0 for s, heads in zip(b["skeleton"], b["heads"])]
-        yield b.assign(again=again)[["page_id", "line_no", "line", "zone", "place", "blank_in", "width", "again", "same", "counted", "inner"]]
+        for scan, zone, lines, outer in b[["scan", "zone", "lines", "outer"]].itertuples(index=False, name=None):
+            yield pd.DataFrame({"scan": scan, "zone": zone, "skeleton": lines, "again": likeliest(list(lines), list(outer))})
+
+
+def likenesses(z: DataFrame) -> DataFrame:
+    """(scan, zone, skeleton, again): how like a line is to the likeliest other outer line of its scan and end. All outer lines are compared."""
+    kinds = z.where("length(skeleton) > 3").groupBy("scan", "zone", "skeleton").agg(F.max(~F.col("inner")).alias("outer"))
+    blocks = kinds.groupBy("scan", "zone").agg(F.ceil(F.count(F.lit(1)) / LINES).alias("blocks"))
+    kinds = kinds.join(blocks, ["scan", "zone"]).withColumn("block", F.pmod(F.xxhash64("skeleton"), F.col("blocks")))
+    kinds = cut(kinds.groupBy("scan", "zone", "blocks", "block").agg(F.collect_list("skeleton").alias("lines"), F.collect_list(F.when(F.col("outer"), F.col("skeleton"))).alias("outer")))
+    # by the other block, so that a scan with many pages is spread over many tasks
+    met = kinds.select("scan", "zone", "lines", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(kinds.select("scan", "zone", "block", "outer").where("size(outer) > 0"), ["scan", "zone", "block"])
+    return met.mapInPandas(_alike, "scan string, zone string, skeleton string, again double").groupBy("scan", "zone", "skeleton").agg(F.max("again").alias("again"))
 
 
 def furniture(pages: DataFrame) -> DataFrame:
@@ -279,15 +309,12 @@ def furniture(pages: DataFrame) -> DataFrame:
     outer = z.where("not inner")
     own = F.when(F.col("inner"), 0).otherwise(1)
     same = outer.groupBy("scan", "zone", "skeleton").agg(F.count_distinct("page_no").alias("same"))
-    top = Window.partitionBy("scan", "zone").orderBy(F.desc("same"), "skeleton")
-    heads = same.where("length(skeleton) > 3").withColumn("k", F.row_number().over(top)).where(f"k <= {HEADS}")
-    heads = heads.groupBy("scan", "zone").agg(F.collect_list(F.struct("skeleton", "same")).alias("heads"))
     step = outer.select("scan", "page_no", F.explode("offsets").alias("offset")).groupBy("scan", "offset").agg(F.count_distinct("page_no").alias("counted"))
     steps = z.select("page_id", "line_no", "scan", F.explode("offsets").alias("offset")).join(step, ["scan", "offset"]).groupBy("page_id", "line_no").agg(F.max("counted").alias("counted"))
-    z = z.join(same, ["scan", "zone", "skeleton"], "left").join(steps, ["page_id", "line_no"], "left")
-    z = z.select("page_id", "line_no", "line", "scan", "zone", "place", "blank_in", "width", "skeleton", (F.coalesce("same", F.lit(0)) - own).cast("int").alias("same"), (F.coalesce("counted", F.lit(0)) - F.when(F.col("counted").isNull(), 0).otherwise(own)).cast("int").alias("counted"), "inner")
-    # the lists of outer lines come last and are gone before anything is written or shuffled again
-    z = cut(z.join(heads, ["scan", "zone"], "left").drop("scan").mapInPandas(_alike, "page_id long, line_no int, line string, zone string, place int, blank_in boolean, width double, again double, same int, counted int, inner boolean"))
+    # a line read alike on several pages is its own likeliest
+    again = F.when(F.length("skeleton") <= 3, 0.0).when(F.col("same") > 1, 1.0).otherwise(F.coalesce("again", F.lit(0.0)))
+    z = z.join(same, ["scan", "zone", "skeleton"], "left").join(likenesses(z), ["scan", "zone", "skeleton"], "left").join(steps, ["page_id", "line_no"], "left")
+    z = cut(z.select("page_id", "line_no", "line", "zone", "place", "blank_in", "width", again.alias("again"), (F.coalesce("same", F.lit(0)) - own).cast("int").alias("same"), (F.coalesce("counted", F.lit(0)) - F.when(F.col("counted").isNull(), 0).otherwise(own)).cast("int").alias("counted"), "inner"))
     sample = [tuple(r)[2:] for r in z.orderBy(F.xxhash64("page_id", "line_no")).limit(LINE_SAMPLE).collect()]
     model = furniture_model(sample)
 

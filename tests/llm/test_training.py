@@ -140,6 +140,21 @@ def test_scan_is_repaired(spark):
     assert "READING ROOMS" not in text and "rehear-" not in text and "modcrn" not in text and "rehearsal" in text
 
 
+def test_all_outer_lines_are_compared(spark, monkeypatch):
+    rng = random.Random(6)
+    lines = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(2, 9))).strip() + x for x in ("", " b", "q") for _ in range(30)})
+    dice = lambda a, b: 2 * len(a & b) / max(1, len(a) + len(b))
+    pairs = {s: {s[i : i + 2] for i in range(len(s) - 1)} for s in lines}
+    want = {s: max(dice(pairs[s], pairs[o]) for o in lines if o != s and len(o) > 3) for s in lines if len(s) > 3}
+    for monkeypatched in (1_000, 7):  # in one block, and in several
+        monkeypatch.setattr(scans, "LINES", monkeypatched)
+        monkeypatch.setattr(scans, "COLUMNS", monkeypatched)
+        z = spark.createDataFrame([("s", "top", x, False) for x in lines] + [("t", "top", "alone", False), ("s", "top", "inner", True)], "scan string, zone string, skeleton string, inner boolean")
+        got = {(r.scan, r.skeleton): r.again for r in scans.likenesses(z).collect()}
+        assert got.pop(("t", "alone")) == 0 and got.pop(("s", "inner")) == 0
+        assert {k for _, k in got} == set(want) and all(math.isclose(got["s", x], want[x]) for x in want)
+
+
 PAGES = "page_id long, image string, scan string, page_no int, lang string, mean_conf double, scanned_at timestamp, content string"
 
 

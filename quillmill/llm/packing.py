@@ -5,6 +5,8 @@ index; the longest unused document is a container's seed, its best-scoring unuse
 room is left then is filled with the largest unused documents that fit. A document longer than the capacity fills whole
 containers by itself; its remainder is packed like a document. No document that fits is ever cut.
 
+A seed is scored by all its words. Document frequencies and the mean length are those of the shard, not of all documents.
+
 Shards are independent of each other, so the work is one shuffle of the texts; tokens are counted within the shard, once for
 each vocabulary. All plans share the shard's index.
 
@@ -32,8 +34,6 @@ K1, B = 1.2, 0.75
 
 #: Characters of text in a shard, on average.
 SHARD_CHARS = 3_000_000
-#: Rarest words of a seed that are looked up.
-QUERY_TERMS = 24
 #: Plans are read on the driver; there are a handful.
 MAX_PLANS = 1_000
 
@@ -68,17 +68,17 @@ class Index:
         order = np.argsort(terms, kind="stable")
         self.docs, self.weights, self.n = docs[order], weight[order], len(texts)
         self.starts = np.concatenate(([0], np.cumsum(df)))
-        # rarest words first; a word that no other document has finds nobody
-        self.of = [own[df[own] > 1][np.argsort(df[own[df[own] > 1]], kind="stable")][:QUERY_TERMS] for own in self.of]
+        # a word that no other document has finds nobody
+        self.of = [own[df[own] > 1] for own in self.of]
 
     def neighbours(self, d: int) -> np.ndarray:
-        """Documents that share the seed's rarest words, best first."""
+        """Documents that share words with the seed, best first."""
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.of[d]]
         if not spans:
             return np.zeros(0, np.int64)
-        found, at = np.unique(np.concatenate([self.docs[s] for s in spans]), return_inverse=True)
-        scores = np.bincount(at, np.concatenate([self.weights[s] for s in spans]))
-        return found[np.lexsort((found, -scores))]
+        scores = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        found = np.flatnonzero(scores)
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 class Unused:

@@ -283,6 +283,21 @@ def test_neighbours_fill_a_container():
     assert sorted([x[0] for x in one] for one in packed) == [[0, 2], [1, 3]]
 
 
+def test_all_words_of_a_seed_count():
+    rare, common = [f"r{k}" for k in range(30)], [f"c{k}" for k in range(20)]
+    # the words of the last document are less rare than 30 others of the seed's
+    texts = [" ".join(rare + common), " ".join(rare[:1]), *[r for r in rare[1:]], " ".join(common), *[" ".join(common[:10])] * 2]
+    index = packing.Index(texts)
+    got = index.neighbours(0).tolist()
+    assert sorted(got) == list(range(len(texts)))
+    n, words = len(texts), [t.split() for t in texts]
+    mean = sum(map(len, words)) / n
+    df = collections.Counter(w for x in words for w in x)
+    idf = {w: math.log1p((n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
+    score = [sum(idf[w] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in x if w in words[0]) for x in words]
+    assert all(score[a] >= score[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
 def test_packed_documents(spark):
     docs = spark.createDataFrame([(k, "word " * (k * 7)) for k in range(30)] + [(100, None), (101, "")], "doc_id long, text string").withColumn("plan", F.lit("x"))
     plans = spark.createDataFrame([("a", "o200k_base", 50), ("b", "p50k_base", 16)], "plan string, encoding string, capacity_tokens int")

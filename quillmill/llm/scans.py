@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.perceptron import Perceptron
@@ -231,9 +231,20 @@ def editor_model(rare: list[tuple[str, int]], frequent: dict[str, int], ends: li
     return Editor(Perceptron().train(rows), known, {e for e, k in seen.items() if k >= BORNE})
 
 
+def _readable() -> Column:
+    """Whether content has a character other than white space."""
+    return F.coalesce(F.col("content"), F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    """Pages with a null scan or page_no as scans of their own, named by a zero character and the page_id."""
+    lone = F.col("scan").isNull() | F.col("page_no").isNull()
+    return pages.withColumns({"scan": F.when(lone, F.concat(F.lit("\x00"), F.col("page_id").cast("string"))).otherwise(F.col("scan")), "page_no": F.coalesce("page_no", F.lit(1))})
+
+
 def _page_rows(pages: DataFrame) -> DataFrame:
-    p = pages.select("page_id", F.coalesce("scan", F.concat(F.lit("\x00"), F.col("page_id").cast("string"))).alias("scan"), F.coalesce("page_no", F.lit(1)).alias("page_no"), F.coalesce("content", F.lit("")).alias("content"))
-    return spread(p.where("trim(content) <> ''"))
+    p = _keyed(pages).select("page_id", "scan", "page_no", F.coalesce("content", F.lit("")).alias("content"))
+    return spread(p.where(_readable()))
 
 
 def _zone_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -483,10 +494,10 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def paragraphs(pages: DataFrame) -> DataFrame:
     """scan, paragraph, text: the continuous text of each scan, without furniture, words put right and joined.
 
-    Of pages scanned twice the surer one is read. Paragraphs end at blank lines, and go on over a page's end if the text does.
+    Of pages scanned twice the surer one that isn't blank is read. A page with a null scan or page_no is a scan of its own. Paragraphs end at blank lines, and go on over a page's end if the text does.
     """
-    once = Window.partitionBy("scan", "page_no").orderBy(F.desc_nulls_last("mean_conf"), F.desc_nulls_last("scanned_at"), "page_id")
-    best = pages.where("scan is not null and page_no is not null").withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k")
+    once = Window.partitionBy("scan", "page_no").orderBy(_readable().desc(), F.desc_nulls_last("mean_conf"), F.desc_nulls_last("scanned_at"), "page_id")
+    best = _keyed(pages).withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k")
     found, fixes = repair(best)
     away = found.where("kind = 'furniture'").groupBy("page_id").agg(F.collect_list("line_no").alias("away"))
     right = fixes.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "a", "fix", "kind")).alias("fixes"))

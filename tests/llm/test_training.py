@@ -175,6 +175,12 @@ def test_frequent_misreadings_are_found_and_frequent_words_kept(spark):
     assert found <= cases
 
 
+def test_no_page_is_left_out_of_the_paragraphs(spark):
+    rows = [(1, "i", "s", 1, "en", 0.9, None, " \n\t"), (2, "i", "s", 1, "en", 0.5, None, "The second copy is read."), (3, "j", None, 1, "en", 0.9, None, "No scan is known."), (4, "k", "s", None, "en", 0.9, None, "No number is known.")]
+    got = {r.text for r in scans.paragraphs(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {"The second copy is read.", "No scan is known.", "No number is known."}
+
+
 # ---- 4
 
 

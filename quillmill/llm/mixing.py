@@ -32,6 +32,8 @@ BLOCKS = 10_000
 #: Documents in a shard, on average.
 SHARD_DOCS = 100_000
 SEED = 20_240_607
+#: Encodings are read on the driver; there are a handful.
+MAX_ENCODINGS = 1_000
 
 
 def sainte_lague(weights: list[float], seats: int, most: list[int | None] | None = None) -> list[int]:
@@ -83,7 +85,9 @@ def _shard_quotas(g: pd.DataFrame) -> pd.DataFrame:
 def mix_documents(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", folder: str = tokens.TOKENIZER_DIR, vocabularies: dict[str, str] | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(selection, report): documents with the number of times they are used in each mix; wanted and reached shares of each source."""
     named = vocabularies or tokens.VOCABULARIES
-    encodings = [r[0] for r in targets.select("encoding").distinct().limit(1_000).collect() if r[0] is not None]
+    encodings = [r[0] for r in targets.select("encoding").where("encoding is not null").distinct().limit(MAX_ENCODINGS + 1).collect()]
+    if len(encodings) > MAX_ENCODINGS:
+        raise ValueError(f"more than {MAX_ENCODINGS} encodings; mix in several calls")
     of = {e: tokens.vocabulary_of(e, named) for e in encodings}
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("_qm_text")).where("length(_qm_text) > 0")
     counts = cut(tokens.token_counts(slim, ["doc_id", "source"], sorted(set(of.values())), "_qm_text", folder))  # numbers only; the texts are tokenised once

@@ -337,6 +337,12 @@ def test_mixture(spark):
     assert selection.groupBy("mix", "doc_id").count().where("count > 1").count() == 0
 
 
+def test_too_many_encodings_are_an_error(spark):
+    t = spark.range(1001).selectExpr("'m' mix", "'s' source", "1D target_share", "1 max_repeats", "concat('e', id) encoding", "0.5D total_fraction")
+    with pytest.raises(ValueError, match="more than 1000"):
+        mixing.mix_documents(spark.createDataFrame([(1, "x", "s")], "doc_id long, text string, source string"), t, vocabularies={f"e{k}": "v" for k in range(1001)})
+
+
 # ---- 8
 
 

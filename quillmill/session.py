@@ -23,8 +23,19 @@ def build_session(app: str = "quillmill", master: str | None = None, **conf: str
     return b.config(map=base | conf).getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; for costly Python its rows can be spread over all cores where the scan has fewer tasks than there are cores.
+
+    Only the number of tasks depends on that, never a result; a large table has tasks enough and isn't shuffled.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not spread:
+        return df
+    try:
+        cores, tasks = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except (AttributeError, NotImplementedError):  # Spark Connect doesn't tell
+        return df
+    return df.repartition(cores) if tasks < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

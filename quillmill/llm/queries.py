@@ -101,11 +101,34 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+    """The planned size is kept; what a source can't give stays open."""
+    return mixing.mix_documents(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_target"))[0].drop("keep")
+
+
+def p7_selection_at_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest size at which all sources with documents give their shares."""
+    return mixing.mix_documents(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_target"), keep=("shares",))[0].drop("keep")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+    return mixing.mix_documents(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_target"), keep=mixing.KEEP)[1]
+
+
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each wanted share, and how many rules the answer breaks: a cap exceeded, a source without documents filled, or one with enough that is off by more than 1 % of the size and than its largest document."""
+    r = p7_shares(spark, sf_dir)
+    over = F.col("most_used") > F.coalesce("max_repeats", "most_used")
+    off = (F.col("blocks") == F.col("blocks_wanted")) & (F.col("available_tokens") > 0) & (F.abs(F.col("tokens") - F.col("share_wanted") * F.col("mix_tokens")) > F.greatest(0.01 * F.col("mix_tokens"), F.col("largest_document")))
+    empty = (F.col("available_tokens") == 0) & (F.col("tokens") > 0)
+    broken = over.cast("int") + off.cast("int") + empty.cast("int")
+    return r.select("mix", "keep", "source", F.floor(F.col("share_wanted") * 1000000 + 0.5).cast("long").alias("share_millionths"), (F.col("available_tokens") > 0).alias("has_documents"), broken.alias("n_broken"))
+
+
+P7_CHECKED = """
+SELECT t.mix, k.keep, t.source, CAST(floor(t.target_share / sum(t.target_share) OVER (PARTITION BY t.mix, k.keep) * 1000000 + 0.5) AS BIGINT) AS share_millionths,
+       t.source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS has_documents, 0 AS n_broken
+FROM mix_target t, (VALUES ('size'), ('shares')) AS k(keep)
+"""
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +155,9 @@ def queries() -> dict[str, Query]:
         "p6_packed": p6_packed,
         "p6_fill": p6_fill,
         "p7_selection": p7_selection,
+        "p7_selection_at_shares": p7_selection_at_shares,
         "p7_shares": p7_shares,
+        "p7_checked": p7_checked,
         "p8_found": p8_found,
         "p8_rates": p8_rates,
     }
@@ -143,4 +168,5 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": P1_FOUND,
         "p4_found": P4_FOUND,
         "p4_collapsed": P4_COLLAPSED,
+        "p7_checked": P7_CHECKED,
     }

@@ -337,6 +337,19 @@ def test_mixture(spark):
     assert selection.groupBy("mix", "doc_id").count().where("count > 1").count() == 0
 
 
+def test_more_shards_than_blocks(spark):
+    docs = spark.range(20000).selectExpr("id doc_id", "repeat('word ', cast(1 + id % 7 as int)) text", "case when id % 100 < 60 then 'third' when id % 100 < 99 then 'other' else 'tiny' end source")
+    t = spark.createDataFrame([("m", "third", 0.2, 1, "o200k_base", 0.5), ("m", "other", 0.6, 1, "o200k_base", 0.5), ("m", "tiny", 0.2, 2, "o200k_base", 0.5)], "mix string, source string, target_share double, max_repeats int, encoding string, total_fraction double")
+    selection, report = mixing.mix_documents(docs, t, keep=mixing.KEEP, blocks=5, shard_docs=200)
+    r = {(x.keep, x.source): x for x in report.collect()}
+    # two sources have enough; the tiny one gives all it has twice, or sets the size
+    assert abs(r["size", "third"].share_of_plan - 0.2) < 0.01 and abs(r["size", "other"].share_of_plan - 0.6) < 0.01
+    assert r["size", "tiny"].tokens == 2 * r["size", "tiny"].available_tokens
+    assert all(abs(r["shares", s].share_reached - w) < 0.01 for s, w in (("third", 0.2), ("other", 0.6), ("tiny", 0.2)))
+    assert r["shares", "tiny"].mix_tokens == 2 * r["size", "tiny"].available_tokens / 0.2
+    assert selection.where("times_used > 2 or source <> 'tiny' and times_used > 1").count() == 0
+
+
 def test_too_many_encodings_are_an_error(spark):
     t = spark.range(1001).selectExpr("'m' mix", "'s' source", "1D target_share", "1 max_repeats", "concat('e', id) encoding", "0.5D total_fraction")
     with pytest.raises(ValueError, match="more than 1000"):

@@ -9,9 +9,10 @@ Endings. How complete an ending looks is read from its last line: closed table r
 and, for lines that need no mark (headings, list items, notes, signatures), how often the corpus ends a line of that kind after the
 same last words. These counts cover all lines of all documents but the last ones.
 
-A text is cut if its ending is incomplete; at a limit at which most endings are incomplete, anything but an ended sentence
-counts. Dots at the end count only at a limit, in a paragraph of their own, or after a torn word: authors write them too.
-Every copy of a cut text is cut.
+A text is cut at a limit at which most endings are incomplete if its own is anything but an ended sentence. Texts that stop elsewhere (in
+mid-transfer) form classes of their own, told apart by `evidence`: those with a mark in place of the rest, and those whose ending is
+incomplete by itself. Dots at the end count only at a limit, in a paragraph of their own, or after a torn word: authors write them
+too. Every copy of a cut text is cut.
 
 Shuffled are counts and one slim row for each document, never texts. Nulls: a null or blank text isn't cut; a null source is
 a source of its own (null). Repeated rows come out as often as they occur. An empty table gives no rows.
@@ -23,11 +24,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.session import cut, spread
+from quillmill.session import cut
 
 ALPHA = 0.01
 #: Lengths on either side that a length is compared with.
@@ -38,6 +39,8 @@ INCOMPLETE = 0.2
 RECURS = 0.02
 
 MARK = re.compile(r"(?:\n\n| )?(\[(?:\.\.\.|…)\]|\((?:\.\.\.|…)\)|\[(?:truncated|cut|cut off|more|continued|truncado|cortado)\]|<(?:truncated|snip)>|\.\.\.|…)\s*$", re.I)
+#: Characters that the longest mark has at most, with what belongs to it.
+MARK_CHARS = 24
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 ENDED = re.compile(r"[.!?。！？][\"'”’»)\]*_`~]*$")
 SHORTENED = re.compile(r"(?:\b(?:e\.g|i\.e|p\.\s?ex|approx|aprox|cf|vs|fig|no|vol|pp)\.|\b(?:approx\.|aprox\.|em|by|in|v)\s*\d+\.)$", re.I)
@@ -121,47 +124,67 @@ def ending(text: str) -> tuple[str, float | None, str, str]:
     return kind, None, w1, w2
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _marked(text: str) -> tuple[str, str, str]:
+    """(what stands before a mark at the end, the kind of the mark or nothing, the mark)"""
+    end = len(text.rstrip())
+    tail = max(0, end - MARK_CHARS)
+    m = MARK.search(text[tail:end])
+    if not m:
+        return text, "", ""
+    kind = "own" if m.group(0).startswith("\n\n") else "dots" if m.group(1) in ("...", "…") else "bracket"
+    return text[: tail + m.start()], kind, m.group(1)
+
+
+def _count_lines(lines: list[str], words_of_any: Counter, seen: Counter, ends: Counter) -> None:
+    """Words of the lines, and those of lines that need no mark at their end: by kind, alone and with the word before."""
+    fenced = False
+    for line in lines:
+        s = line.strip()
+        if s.startswith("```"):
+            fenced = not fenced
+            continue
+        words = WORD.findall(s.lower())
+        words_of_any.update(words)
+        if fenced:
+            continue
+        kind = _kind(s)
+        if kind == "url" and " " not in s:
+            seen["url", None, _shape(s)] += 1
+            ends["url", None, _shape(s)] += 1
+        elif words and not ENDED.search(s) and (kind != "note" or _plain(line)):
+            seen.update([(kind, None, w) for w in words])
+            seen.update([(kind, v, w) for v, w in zip(["", *words], words)])
+            ends[kind, None, words[-1]] += 1
+            ends[kind, words[-2] if len(words) > 1 else "", words[-1]] += 1
+
+
+FEATURES = (("chars", pa.int64()), ("bytes", pa.int64()), ("before_mark", pa.int64()), ("mark", pa.string()), ("kind", pa.string()), ("whole", pa.float64()), ("w1", pa.string()), ("w2", pa.string()), ("torn", pa.string()))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each batch a slim row for each document, and the counts of its lines but the last: (kind, w1, w2), seen and ending a line.
+
+    Counts have no document. w1 is null for a word by itself; kind '*' counts words of any line.
+    """
     for b in batches:
-        rows = []
-        for i, source, text in b.itertuples(index=False, name=None):
-            m = MARK.search(text)
-            base = text[: m.start()] if m else text
+        texts = b.column("text").to_pylist()
+        rows, seen, ends, any_word = [], Counter(), Counter(), Counter()
+        for text in texts:
+            base, mark, _ = _marked(text)
             kind, whole, w1, w2 = ending(base)
-            mark = "" if not m else "own" if m.group(0).startswith("\n\n") else "dots" if m.group(1) in ("...", "…") else "bracket"
-            torn = (WORD.findall(base[-80:]) or [""])[-1].lower() if m else ""
-            rows.append((i, source, len(text), len(text.encode("utf-8", "surrogatepass")), len(base) if m else None, mark, kind, whole, w1, w2, torn))
-        yield pd.DataFrame(rows, columns=["doc", "source", "chars", "bytes", "before_mark", "mark", "kind", "whole", "w1", "w2", "torn"]).astype({"before_mark": "Int64"})
-
-
-def _line_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts within each batch: (kind, w1, w2) seen and ending a line. w1 is null for a single word; kind '*' counts words of any line."""
-    for b in batches:
-        seen: Counter = Counter()
-        ends: Counter = Counter()
-        for text in b["text"]:
-            m = MARK.search(text)
-            lines = _lines(text[: m.start()] if m else text)[:-1]
-            fenced = False
-            for line in lines:
-                s = line.strip()
-                if s.startswith("```"):
-                    fenced = not fenced
-                    continue
-                words = [w.lower() for w in WORD.findall(s)]
-                seen.update(("*", None, w) for w in words)
-                if fenced:
-                    continue
-                kind = _kind(s)
-                if kind == "url" and " " not in s:
-                    seen[("url", None, _shape(s))] += 1
-                    ends[("url", None, _shape(s))] += 1
-                elif words and (kind != "note" or _plain(line)) and not ENDED.search(s):
-                    seen.update((kind, None, w) for w in words)
-                    seen.update((kind, v, w) for v, w in zip(["", *words], words))
-                    ends[(kind, None, words[-1])] += 1
-                    ends[(kind, (["", *words])[-2], words[-1])] += 1
-        yield pd.DataFrame([(*k, n, ends.get(k, 0)) for k, n in seen.items()], columns=["kind", "w1", "w2", "seen", "ended"])
+            torn = (WORD.findall(base[-80:]) or [""])[-1].lower() if mark else ""
+            rows.append((len(text), len(text.encode("utf-8", "surrogatepass")), len(base) if mark else None, mark, kind, whole, w1, w2, torn))
+            _count_lines(_lines(base)[:-1], any_word, seen, ends)
+        columns = list(zip(*rows)) or [()] * len(FEATURES)
+        names = ["doc", "source", "copy", *[n for n, _ in FEATURES], "seen", "ended"]
+        none = lambda n, t: pa.nulls(n, t)
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("source"), b.column("copy"), *[pa.array(c, t) for c, (_, t) in zip(columns, FEATURES)], none(n, pa.int64()), none(n, pa.int64())], names=names)
+        counts = [(*k, n, ends.get(k, 0)) for k, n in seen.items()] + [("*", None, w, n, 0) for w, n in any_word.items()]
+        n = len(counts)
+        kind, w1, w2, often, ended = zip(*counts) if counts else ((),) * 5
+        given = {"kind": pa.array(kind, pa.string()), "w1": pa.array(w1, pa.string()), "w2": pa.array(w2, pa.string())}
+        yield pa.RecordBatch.from_arrays([none(n, b.schema.field(c).type) for c in ("doc", "source", "copy")] + [given.get(f, none(n, t)) for f, t in FEATURES] + [pa.array(often, pa.int64()), pa.array(ended, pa.int64())], names=names)
 
 
 def limits(lengths: DataFrame, alpha: float = ALPHA, around: int = AROUND) -> DataFrame:
@@ -181,28 +204,29 @@ def limits(lengths: DataFrame, alpha: float = ALPHA, around: int = AROUND) -> Da
     whole = Window.partitionBy("source", "measure")
     h = h.withColumn("_k", F.row_number().over(by_p)).withColumn("_m", F.count(F.lit(1)).over(whole))
     h = h.withColumn("_last", F.max(F.when(F.col("p") <= F.col("_k") * alpha / F.col("_m"), F.col("_k"))).over(whole))
-    return h.where("_k <= _last and n >= 3").select("source", "measure", "length", "n", "expected", "p")
+    return h.where("_k <= _last").select("source", "measure", "length", "n", "expected", "p")
 
 
-def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", alpha: float = ALPHA) -> DataFrame:
-    """doc_id, source, is_cut, at_limit (the measure of the limit it ends at, or null), kind of ending, likelihood that the ending is whole."""
-    slim = docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
-    t = spread(slim.where(F.col("text").isNotNull()))
-    types = {c: slim.schema[c].dataType.simpleString() for c in ("doc", "source")}
-    schema = f"doc {types['doc']}, source {types['source']}, chars long, bytes long, before_mark long, mark string, kind string, whole double, w1 string, w2 string, torn string, copy string"
-    keyed = t.withColumn("copy", F.md5("text"))
+#: What shows that a text was cut, the strongest first.
+EVIDENCE = ("limit", "mark", "ending", "copy")
+
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            copy = b.pop("copy").tolist()
-            yield next(_features(iter([b]))).assign(copy=copy)
+def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", alpha: float = ALPHA) -> DataFrame:
+    """doc_id, source, is_cut, evidence, at_limit (the measure of the limit it ends at, or null), kind of ending, likelihood that the ending is whole.
 
-    f = cut(keyed.mapInPandas(features, schema))  # one slim row for each document
-    counts = t.select("text").mapInPandas(_line_counts, "kind string, w1 string, w2 string, seen long, ended long")
-    counts = cut(counts.groupBy("kind", "w1", "w2").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended")))
+    evidence: 'limit' for an incomplete ending at a significant length; 'mark' for a mark in place of the rest and 'ending' for an ending that
+    can't be one, both at no such length; 'copy' for a repeat of a cut text; null for whole ones.
+    """
+    slim = docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    types = {c: slim.schema[c].dataType.simpleString() for c in ("doc", "source")}
+    schema = f"doc {types['doc']}, source {types['source']}, copy string, chars long, bytes long, before_mark long, mark string, kind string, whole double, w1 string, w2 string, torn string, seen long, ended long"
+    read = cut(slim.withColumn("copy", F.md5("text")).mapInArrow(_read, schema))  # the texts are read once
+    f = read.where("seen is null").drop("seen", "ended")
+    counts = cut(read.where("seen is not null").groupBy("kind", "w1", "w2").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended")))
 
     measures = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("chars", "bytes", "before_mark")]))
-    long = f.select("doc", "source", "kind", "whole", measures.alias("m")).select("doc", "source", "kind", "whole", "m.measure", "m.length")
+    # a text that is repeated is one text: repeats have the same length anyway
+    long = f.select("source", "copy", "chars", "bytes", "before_mark").distinct().select("source", measures.alias("m")).select("source", "m.measure", "m.length")
     found = limits(long.where("length > 0"), alpha)
 
     one = counts.where("w1 is null and kind <> '*'").select("kind", "w2", F.col("seen").alias("n1"), F.col("ended").alias("e1"))
@@ -213,7 +237,8 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     p2 = (F.coalesce("e2", F.lit(0)) + 2 * p1) / (F.coalesce("n2", F.lit(0)) + 2)
     # signatures and addresses stand at the end only: there the endings of all documents tell, of which whole ones recur
     closing = f.where("whole is null and kind in ('sign', 'url')").groupBy("kind", "w1", "w2").agg(F.count_distinct("copy").alias("n"))
-    closing = closing.select("kind", "w1", "w2", (F.col("n") / F.sum("n").over(Window.partitionBy("kind"))).alias("recurs"))
+    of_kind = closing.groupBy("kind").agg(F.sum("n").alias("of_kind"))  # two rows
+    closing = closing.join(of_kind, "kind").select("kind", "w1", "w2", (F.col("n") / F.col("of_kind")).alias("recurs"))
     words = known.select(F.col("torn").alias("w2"), F.col("torn_seen").alias("w2_seen"))
     told = open_.join(two, ["kind", "w1", "w2"], "left").join(one, ["kind", "w2"], "left").join(closing, ["kind", "w1", "w2"], "left").join(words, "w2", "left")
     often = F.coalesce(F.col("recurs") >= RECURS, F.lit(False))
@@ -233,20 +258,22 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         f = f.join(one_m, F.col("source").eqNullSafe(F.col("_s")) & (F.col(m) == F.col("_l")), "left").drop("_s", "_l")
     at = F.coalesce("at_before_mark", "at_chars", "at_bytes")
     torn = (F.col("torn") != "") & (F.coalesce("torn_seen", F.lit(0)) < 2)
-    is_cut = (
-        F.when(F.col("kind") == "blank", False)
-        .when(F.col("mark").isin("bracket", "own"), F.lit(True))
-        .when(F.col("mark") == "dots", F.col("at_before_mark").isNotNull() | F.col("at_chars").isNotNull() | torn)
-        .when(at.isNotNull(), F.col("whole") < 1.0)
-        .otherwise(F.col("whole") < INCOMPLETE)
+    no, yes = F.lit(None).cast("string"), lambda what, c: F.when(c, what)
+    limit = F.col("whole") < 1.0
+    own = (
+        F.when(F.col("kind") == "blank", no)
+        .when(F.col("mark").isin("bracket", "own"), F.when(at.isNotNull(), "limit").otherwise("mark"))
+        .when(F.col("mark") == "dots", F.when(F.col("at_before_mark").isNotNull() | F.col("at_chars").isNotNull(), "limit").when(torn, "mark"))
+        .when(at.isNotNull(), yes("limit", limit))
+        .otherwise(yes("ending", F.col("whole") < INCOMPLETE))
     )
-    f = cut(f.select("doc", "source", "copy", "kind", "whole", at.alias("at_limit"), is_cut.alias("own_cut")))
-    copies = f.where("own_cut").select("copy").distinct().withColumn("copy_cut", F.lit(True))
-    f = f.join(copies, "copy", "left").withColumn("is_cut", F.coalesce("copy_cut", F.lit(False)))
-    return f.select(F.col("doc").alias(doc_id), F.col("source").alias(source), "is_cut", "at_limit", "kind", "whole")
+    f = cut(f.select("doc", "source", "copy", "kind", "whole", at.alias("at_limit"), own.alias("own")))
+    copies = f.where("own is not null").select("copy").distinct().withColumn("copy_cut", F.lit(True))
+    f = f.join(copies, "copy", "left").withColumn("evidence", F.coalesce("own", F.when(F.col("copy_cut"), "copy")))
+    return f.select(F.col("doc").alias(doc_id), F.col("source").alias(source), F.col("evidence").isNotNull().alias("is_cut"), "evidence", "at_limit", "kind", "whole")
 
 
 def rates(detected: DataFrame, source: str = "source") -> DataFrame:
-    """Documents, cut documents and their rate for each source."""
-    g = detected.groupBy(source).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("is_cut").alias("n_cut"), F.count_if(F.col("is_cut") & F.col("at_limit").isNotNull()).alias("n_at_limit"))
-    return g.withColumn("cut_rate", F.col("n_cut") / F.col("n_docs"))
+    """Documents, cut documents and their rate for each source; of the cut ones how many show which evidence."""
+    g = detected.groupBy(source).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("is_cut").alias("n_cut"), *[F.count_if(F.coalesce(F.col("evidence") == e, F.lit(False))).alias(f"n_by_{e}") for e in EVIDENCE])
+    return g.withColumn("cut_rate", F.col("n_cut") / F.col("n_docs")).withColumn("limit_rate", F.col("n_by_limit") / F.col("n_docs"))

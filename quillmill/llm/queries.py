@@ -100,6 +100,13 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, sf_dir))
 
 
+def p6_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan, doc_id) of every document that lies in the containers of a plan whole: in pieces without gap, one piece unless it is over the capacity, no container over it."""
+    p = p6_packed(spark, sf_dir)
+    one = p.groupBy("plan", "doc_id", "capacity_tokens").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.max("piece_no").alias("last"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.max("container_tokens").alias("fullest"))
+    return one.where("n = last + 1 and end = tokens and fullest <= capacity_tokens and (n = 1 or tokens > capacity_tokens)").select("plan", "doc_id")
+
+
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The planned size is kept; what a source can't give stays open."""
     return mixing.mix_documents(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_target"))[0].drop("keep")
@@ -132,11 +139,11 @@ FROM mix_target t, (VALUES ('size'), ('shares')) AS k(keep)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.detect(table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
+    return truncation.detect(table(spark, sf_dir, "documents", spread=True)).where("is_cut").select("doc_id")
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.rates(truncation.detect(table(spark, sf_dir, "documents")))
+    return truncation.rates(truncation.detect(table(spark, sf_dir, "documents", spread=True)))
 
 
 def queries() -> dict[str, Query]:
@@ -154,6 +161,7 @@ def queries() -> dict[str, Query]:
         "p5_entities": p5_entities,
         "p6_packed": p6_packed,
         "p6_fill": p6_fill,
+        "p6_placed": p6_placed,
         "p7_selection": p7_selection,
         "p7_selection_at_shares": p7_selection_at_shares,
         "p7_shares": p7_shares,
@@ -168,5 +176,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": P1_FOUND,
         "p4_found": P4_FOUND,
         "p4_collapsed": P4_COLLAPSED,
+        "p6_placed": "SELECT plan, doc_id FROM documents, pack_plan WHERE length(text) > 0",
         "p7_checked": P7_CHECKED,
     }

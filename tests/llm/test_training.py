@@ -6,6 +6,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -294,7 +295,8 @@ def test_all_words_of_a_seed_count():
     # the words of the last document are less rare than 30 others of the seed's
     texts = [" ".join(rare + common), " ".join(rare[:1]), *[r for r in rare[1:]], " ".join(common), *[" ".join(common[:10])] * 2]
     index = packing.Index(texts)
-    got = index.neighbours(0).tolist()
+    found = index.scores(0)
+    got = sorted(np.flatnonzero(found).tolist(), key=lambda d: -found[d])
     assert sorted(got) == list(range(len(texts)))
     n, words = len(texts), [t.split() for t in texts]
     mean = sum(map(len, words)) / n
@@ -307,7 +309,8 @@ def test_all_words_of_a_seed_count():
 def test_packed_documents(spark):
     docs = spark.createDataFrame([(k, "word " * (k * 7)) for k in range(30)] + [(100, None), (101, "")], "doc_id long, text string").withColumn("plan", F.lit("x"))
     plans = spark.createDataFrame([("a", "o200k_base", 50), ("b", "p50k_base", 16)], "plan string, encoding string, capacity_tokens int")
-    out = packing.pack_documents(docs, plans, shard_chars=700).toPandas()
+    out = packing.pack_documents(docs, plans, shard_chars=700, task_docs=20).toPandas()
+    assert len({c.rsplit("-", 1)[0] for c in out.container}) > 2  # several shards, in two tasks
     assert (out.groupby(["plan", "container"]).n_tokens.sum() <= out.groupby(["plan", "container"]).capacity_tokens.first()).all()
     assert set(out[out.plan == "a"].doc_id) == set(range(1, 30))
     assert packing.pack_documents(docs.where("doc_id < 0"), plans).count() == 0
@@ -385,9 +388,31 @@ def test_cut_texts_are_found(spark):
     texts = [t[:397] + ("" if k % 2 else "...") if k in cut else t for k, t in enumerate(texts)]
     cut = {k for k in cut if k % 2 == 0 or not texts[k].rstrip().endswith(".")}  # those that end with a sentence by chance can't be told
     rows = [(k, t, "s") for k, t in enumerate(texts)] + [(500, None, "s"), (501, " ", None), (502, texts[min(cut)], None)]
+    at_words = [t for _ in range(400) if len(t := whole()) > 400 and t[397] == " " and t[396].isalpha()][:6]  # cut between words, with dots: only the length tells
+    rows += [(600 + k, t[:397] + "...", "s") for k, t in enumerate(at_words)]
+    rows += [(700, "\n".join([" ".join(words).capitalize() + "."] * 3), "s")]  # shows that the words are words
+    cut |= set(range(600, 600 + len(at_words)))
     out = truncation.detect(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    assert {r.doc_id for r in out.where("is_cut").collect()} == cut | {502}
-    assert {r.source: r.n_docs for r in truncation.rates(out).collect()} == {"s": 300, None: 2}
+    assert {r.doc_id for r in out.where("is_cut").collect()} == cut | {502} and at_words
+    assert {r.source: (r.n_docs, r.n_by_copy) for r in truncation.rates(out).collect()} == {"s": (301 + len(at_words), 0), None: (2, 0)}
+    # most are found by the hazard of their length: without it those that end in dots are lost
+    assert out.where("evidence = 'limit'").count() > 0.8 * len(cut)
+    without = {r.doc_id for r in truncation.detect(spark.createDataFrame(rows, "doc_id long, text string, source string"), alpha=-1.0).where("is_cut").collect()}
+    assert without < cut | {502} and not [k for k in without if k >= 600]
+
+
+def test_two_different_texts_can_show_a_limit(spark):
+    # repeats of one text don't make a limit; long gaps between lengths make two of a length significant
+    rows = [("s", "chars", 100 + 997 * k) for k in range(400)] + [("s", "chars", 5_000)] * 2
+    found = truncation.limits(spark.createDataFrame(rows, "source string, measure string, length long")).collect()
+    assert [(r.source, r.length) for r in found] in ([], [("s", 5_000)])
+    one = spark.createDataFrame([(k, "The same text is here without its end and goes on", "s") for k in range(50)], "doc_id long, text string, source string")
+    assert truncation.detect(one).where("at_limit is not null").count() == 0
+
+
+def test_marks_are_found_behind_white_space():
+    assert truncation._marked("It was here... \n") == ("It was here", "dots", "...")
+    assert truncation._marked("x" * 100 + "\n\n[truncado]\n\n")[1:] == ("own", "[truncado]") and truncation._marked("whole.") == ("whole.", "", "")
     assert truncation.detect(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 

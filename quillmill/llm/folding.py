@@ -61,23 +61,23 @@ def _power_table(k: int, n: int) -> np.ndarray:
 
 
 def rolling_hashes(folded: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 62-bit hash for each string: two polynomials over its kept characters, modulo a prime."""
-    kept = folded != 0
-    counts = np.concatenate(([0], np.cumsum(kept)))
+    """A 62-bit hash for each string: two polynomials over its kept characters, modulo a prime. The terms are added where they stand."""
+    kept = np.concatenate(([0], np.cumsum(folded != 0)))
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    first, last = counts[starts], counts[ends]
-    values = folded[kept].astype(np.uint64)
-    at = np.arange(len(values)) - np.repeat(first, last - first)
-    sizes = last - first
+    sizes = kept[ends] - kept[starts]
+    # the place of each character among those its string keeps; a skipped one has the next one's, and adds nothing
+    at = kept[:-1] - np.repeat(kept[starts], lengths)
     out = np.zeros(len(lengths), dtype=np.uint64)
-    some = sizes > 0
+    some = lengths > 0
     longest = int(sizes.max()) if len(sizes) else 0
     for k in range(len(BASES)):
-        terms = values * _power_table(k, longest + 1)[at] % PRIME
+        terms = _power_table(k, longest + 1)[at]
+        terms *= folded
+        terms %= PRIME
         h = np.zeros(len(lengths), dtype=np.uint64)
         if some.any():
-            h[some] = np.add.reduceat(terms, first[some]) % PRIME
+            h[some] = np.add.reduceat(terms, starts[some]) % PRIME
         h = (h + sizes.astype(np.uint64) * np.uint64(7919 + k)) % PRIME
         out = (out << np.uint64(31)) | h
     return out

@@ -4,8 +4,9 @@ Each record's characters run through a skip-and-fold table into rolling polynomi
 name's and the fields are added up, so their order is of no account and no canonical string is built. Rows whose
 fingerprints meet are verified: two index vectors walk over the kept characters of both records in step.
 
-Only (id, fingerprint) is shuffled for all rows; contents move only for rows whose fingerprint occurs twice. A group of
-copies of any size is split over salts for the verification.
+Fingerprints are computed once and kept. Only (id, fingerprint) is shuffled for all rows. Contents move for rows whose fingerprint occurs
+twice: a bitmap of fixed size over their ids keeps out nearly all others, as long as there are fewer than some ten million; beyond that more
+and more others are shuffled along, and dropped by the join. A group of copies of any size is split over salts for the verification.
 
 Nulls: a null `id`, type, map or value counts as empty; a missing field isn't an empty one. An empty table gives an empty
 table. Repeated rows are copies. Columns that clash with the operator's own names (prefixed `_qm_`) aren't touched, as only
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.folding import fold_points, mix, points_of, rolling_hashes
+from quillmill.operators.prefilter import keep_possible
 from quillmill.session import cut
 
 #: A resolver's address or a scheme in front of a DOI.
@@ -121,31 +123,41 @@ def same_records(a: pa.RecordBatch, b: pa.RecordBatch, kind: str = "kind", key:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares each record with the first one of its group, which stands before it; it may be in an earlier batch."""
+    names, before = ["kind", "key", "fields"], None
     for b in batches:
         if not b.num_rows:
             continue
-        sides = [pa.RecordBatch.from_arrays([b.column(s + x) for x in ("kind", "key", "fields")], names=["kind", "key", "fields"]) for s in ("_qm_a_", "_qm_b_")]
-        yield pa.RecordBatch.from_arrays([b.column("_qm_id"), b.column("_qm_rep"), b.column("_qm_h"), pa.array(same_records(*sides))], names=["_qm_id", "_qm_rep", "_qm_h", "_qm_same"])
+        t = pa.Table.from_batches([b] if before is None else [before, b]).combine_chunks()
+        first = t.column("_qm_first").to_numpy(zero_copy_only=False).astype(bool)
+        of = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+        before = t.slice(int(of[-1]), 1).to_batches()[0]
+        rows = np.flatnonzero(~first)
+        if not len(rows):
+            continue
+        a, r = t.take(pa.array(rows)), t.take(pa.array(of[rows]))
+        same = same_records(*(x.select(names).combine_chunks().to_batches()[0] for x in (a, r)))
+        yield pa.RecordBatch.from_arrays([a.column("_qm_id").combine_chunks(), a.column("_qm_rep").combine_chunks(), pa.array(same)], names=["_qm_id", "_qm_rep", "_qm_same"])
 
 
-def duplicate_classes(df: DataFrame, record_id: str = "entry_id", kind: str = "entry_type", key: str = "id", fields: str = "fields") -> DataFrame:
+def duplicate_classes(df: DataFrame, record_id: str = "entry_id", kind: str = "entry_type", key: str = "id", fields: str = "fields", salt_rows: int = SALT_ROWS) -> DataFrame:
     """(record_id, class_id) of each record that has a copy; class_id is the smallest id of its class."""
-    ids = fingerprints(df, record_id, kind, key, fields)
+    ids = cut(fingerprints(df, record_id, kind, key, fields))
     t = ids.schema["_qm_id"].dataType.simpleString()
     groups = ids.groupBy("_qm_h").agg(F.min("_qm_id").alias("_qm_rep"), F.count(F.lit(1)).alias("_qm_n")).where("_qm_n > 1")
-    members = ids.join(groups, "_qm_h").withColumn("_qm_salts", F.expr(f"cast(ceil(_qm_n / {SALT_ROWS}.0) as int)"))
-    members = cut(members)  # ids and fingerprints only; read four times below
-    content = df.select(F.col(record_id).alias("_qm_id"), F.struct(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(fields).alias("fields")).alias("_qm_c"))
-    firsts = members.where("_qm_id = _qm_rep").select("_qm_id", "_qm_rep", "_qm_salts").dropDuplicates(["_qm_id"])
-    right = content.join(firsts, "_qm_id").select("_qm_rep", F.explode(F.sequence(F.lit(0), F.col("_qm_salts") - 1)).alias("_qm_salt"), F.col("_qm_c").alias("_qm_b"))
-    left = content.join(members.where("_qm_id <> _qm_rep"), "_qm_id").withColumn("_qm_salt", F.expr("cast(pmod(xxhash64(_qm_id), _qm_salts) as int)")).withColumnRenamed("_qm_c", "_qm_a")
-    pairs = left.join(right, ["_qm_rep", "_qm_salt"]).select("_qm_id", "_qm_rep", "_qm_h", *[F.col(f"_qm_{s}.{x}").alias(f"_qm_{s}_{x}") for s in "ab" for x in ("kind", "key", "fields")])
-    verified = cut(pairs.mapInArrow(_verify, f"_qm_id {t}, _qm_rep {t}, _qm_h long, _qm_same boolean"))
+    members = ids.join(groups, "_qm_h").select("_qm_id", "_qm_rep", F.expr(f"cast(ceil(_qm_n / {salt_rows}.0) as int)").alias("_qm_salts"))
+    members = cut(members)  # numbers only, of rows that meet another
+    content = df.select(F.col(record_id).alias("_qm_id"), F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(fields).alias("fields"))
+    met = keep_possible(content, "_qm_id", members.select("_qm_id")).join(members, "_qm_id").withColumn("_qm_first", F.col("_qm_id") == F.col("_qm_rep"))
+    salts = F.when(F.col("_qm_first"), F.sequence(F.lit(0), F.col("_qm_salts") - 1)).otherwise(F.array(F.expr("cast(pmod(xxhash64(_qm_id), _qm_salts) as int)")))
+    met = met.withColumn("_qm_salt", F.explode(salts)).select("_qm_id", "_qm_rep", "_qm_salt", "_qm_first", "kind", "key", "fields")
+    met = met.repartition("_qm_rep", "_qm_salt").sortWithinPartitions("_qm_rep", "_qm_salt", F.desc("_qm_first"))
+    verified = cut(met.mapInArrow(_verify, f"_qm_id {t}, _qm_rep {t}, _qm_same boolean"))
     good = verified.where("_qm_same").select("_qm_id", "_qm_rep")
     strays = verified.where("not _qm_same").select("_qm_id")
     if not strays.isEmpty():  # a collision of fingerprints: these rows go through once more by themselves
         rest = df.join(strays.withColumnRenamed("_qm_id", record_id), record_id, "left_semi")
-        again = duplicate_classes(rest, record_id, kind, key, fields)
+        again = duplicate_classes(rest, record_id, kind, key, fields, salt_rows)
         good = good.unionByName(again.where(F.col(record_id) != F.col("class_id")).select(F.col(record_id).alias("_qm_id"), F.col("class_id").alias("_qm_rep")))
     reps = good.select("_qm_rep").distinct().select(F.col("_qm_rep").alias("_qm_id"), "_qm_rep")
     return good.unionByName(reps).select(F.col("_qm_id").alias(record_id), F.col("_qm_rep").alias("class_id"))

@@ -208,6 +208,13 @@ def test_format_duplicates(spark):
     assert format_duplicates.collapse(df.where("entry_id < 0")).count() == 0
 
 
+def test_a_hot_group_is_split(spark):
+    df = bib(spark, [("s", "K", {"title": "The same"})] * 25 + [("s", "k.", {"Title": "the SAME!"})] * 5 + [("s", "x", {})])
+    classes = {tuple(r) for r in format_duplicates.duplicate_classes(df, salt_rows=4).collect()}
+    assert classes == {(k, 0) for k in range(30)}
+    assert {tuple(r) for r in format_duplicates.collapse(df).select("entry_id", "n_copies").collect()} == {(0, 30), (30, 1)}
+
+
 def test_collisions_of_fingerprints_are_told_apart(spark, monkeypatch):
     real = format_duplicates.fingerprints
     monkeypatch.setattr(format_duplicates, "fingerprints", lambda *a, **k: real(*a, **k).withColumn("_qm_h", F.lit(7).cast("long")))
@@ -394,7 +401,7 @@ def test_cut_texts_are_found(spark):
     cut |= set(range(600, 600 + len(at_words)))
     out = truncation.detect(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert {r.doc_id for r in out.where("is_cut").collect()} == cut | {502} and at_words
-    assert {r.source: (r.n_docs, r.n_by_copy) for r in truncation.rates(out).collect()} == {"s": (301 + len(at_words), 0), None: (2, 0)}
+    assert {r.source: (r.n_docs, r.n_by_copy) for r in truncation.rates(out).collect()} == {"s": (301 + len(at_words), 0), None: (2, 1)}
     # most are found by the hazard of their length: without it those that end in dots are lost
     assert out.where("evidence = 'limit'").count() > 0.8 * len(cut)
     without = {r.doc_id for r in truncation.detect(spark.createDataFrame(rows, "doc_id long, text string, source string"), alpha=-1.0).where("is_cut").collect()}

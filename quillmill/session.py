@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """As cut, by a table in the same folder: for loops. A checkpoint carries its plan's size estimate on, which joins multiply in every round."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._qm_settled = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a settled DataFrame that nothing reads any more."""
+    jvm, path = df.sparkSession._jvm, df._qm_settled
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over as many tasks as there are cores, where a scan of few row groups has fewer; otherwise df as it is. For costly Python only."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -7,8 +7,8 @@
    publication's sources that give another vote against it, and so do the other publications that have the same value.
    Expectation-maximisation infers each source's sensitivity and false-positive rate and each value's probability of being
    true; several values of a field may be true at once.
-3. Survivors. A value that recurs in other publications is usable only if it is judged true; a remark in place of an abstract
-   isn't. Among usable values: the abstract with most letters and digits, then the most trusted source, the latest edit, the
+3. Survivors. An abstract that recurs in other publications is usable only if it is judged true: that is what tells a remark that there
+   is none from an abstract, no list of remarks does. Among usable values: the abstract with most letters and digits, then the most trusted source, the latest edit, the
    smallest entry_id. That order is fixed by this project's data; the probabilities and the further true values come beside it.
 
 All statistics are kept as counts by pattern of voters; source quality is joined, not collected. Groups are reduced with
@@ -21,22 +21,25 @@ isn't usable. Repeated rows count as records. An empty table gives no rows.
 from __future__ import annotations
 
 import unicodedata
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.operators.components import components
-from quillmill.session import cut
+from quillmill.operators.prefilter import keep_possible
+from quillmill.session import cut, settle
 
 #: The fields of which values survive; elsewhere a field is its place here.
 FIELDS = ("id", "doi", "abstract")
-ROUNDS = 5
+#: Expectation-maximisation ends when no rate changes by more than this in a round; a warning says so if it hasn't by then.
+TOLERANCE, MOST_ROUNDS = 0.005, 60
+#: Sources whose rates are held on the driver at most; those of more are joined.
+MOST_DRIVEN = 100_000
 #: Usual sensitivity and false-positive rate, and the strength (in votes) with which they hold as priors.
 SENSITIVITY, FALSE_POSITIVE, STRENGTH = 0.6, 0.05, 10.0
 
-# Remarks in place of an abstract, folded to letters and digits.
-REMARKS = ["noabstract", "noabstractavailable", "abstractnotprovided", "abstractnotavailable", "abstractunavailable", "notavailable", "na", "none", "null", "tba", "tbd", "nil", "unknown", "pending", "semresumo", "resumonaodisponivel", "resumonãodisponível", "abstract", "seepublisherpage", "noabstractprovided", "nodescription"]
-
 DOI_PREFIX = r"(?i)^\s*(?:(?:https?\s*:\s*//\s*)?(?:dx\.|www\.)?doi\.[a-z]+/|(?:urn|info)?\s*:?\s*doi\s*[:/]?\s*)*\s*"
 DOI = r"^10\.\d{4,9}(?:\.\d+)*/\S+$"
 
@@ -99,7 +102,7 @@ def slim_records(entries: DataFrame) -> DataFrame:
     return r.select(
         "entry_id", "src", "modified_at", "v_doi",
         F.when(F.trim("id") != "", F.xxhash64(F.trim("id"))).alias("v_id"),
-        F.when((F.col("_t") != "") & ~F.col("_t").isin(REMARKS), F.xxhash64("_t")).alias("v_abstract"), F.length("_t").alias("n_abstract"),
+        F.when(F.col("_t") != "", F.xxhash64("_t")).alias("v_abstract"), F.length("_t").alias("n_abstract"),
         F.when(F.col("letters") == "", F.xxhash64(F.lit("untitled"), "entry_id")).otherwise(F.xxhash64("year4", "part", "letters")).alias("class_key"),
         F.when(F.col("letters") != "", F.array_compact(F.array(*keys))).alias("keys"),
     )
@@ -112,9 +115,9 @@ def publications(slim: DataFrame, entries: DataFrame) -> DataFrame:
     k = cut(k.join(met, "k"))  # numbers, and only of classes that meet another
     pairs = cut(k.join(k.select("k", F.col("class_key").alias("other"), F.col("rep").alias("rep_b")), "k").where("class_key < other").groupBy("class_key", "other").agg(F.min("rep").alias("rep"), F.min("rep_b").alias("rep_b")))
     wanted = pairs.select(F.col("rep").alias("entry_id")).union(pairs.select("rep_b")).distinct()
-    texts = titled(entries.join(wanted, "entry_id").withColumn("_names", lower_names()).select("entry_id", *[field(f).alias(f) for f in ("title", "year", "author")]))
+    texts = titled(keep_possible(entries, "entry_id", wanted).withColumn("_names", lower_names()).select("entry_id", *[field(f).alias(f) for f in ("title", "year", "author")]))
     people = F.filter(words(F.col("author")), lambda x: (F.length(x) > 2) & ~x.isin("and", "the", "van", "der", "von", "for"))
-    texts = texts.select("entry_id", "letters", people.alias("people"))
+    texts = cut(texts.select("entry_id", "letters", people.alias("people")).join(wanted, "entry_id"))  # titles of classes that meet another
     x = pairs.join(texts.withColumnRenamed("entry_id", "rep"), "rep").join(texts.select(F.col("entry_id").alias("rep_b"), F.col("letters").alias("letters_b"), F.col("people").alias("people_b")), "rep_b")
     shared = F.coalesce(F.arrays_overlap("people", "people_b"), F.lit(False))
     x = x.withColumn("_s", F.when(F.length("letters") <= F.length("letters_b"), F.col("letters")).otherwise(F.col("letters_b")))
@@ -126,8 +129,8 @@ def publications(slim: DataFrame, entries: DataFrame) -> DataFrame:
     return components(linked, "class_key", "other").select(F.col("node").alias("class_key"), F.col("label").alias("publication"))
 
 
-def judge(members: DataFrame, spread: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(facts, quality): publication, field, value, n_else, probability; source (hashed), field, sensitivity, false_positive_rate.
+def judge(members: DataFrame, spread: DataFrame, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(facts, quality): publication, field, value, n_else, probability; source (hashed), field, sensitivity, false_positive_rate, rounds, change.
 
     members has publication, src, v_id, v_doi, v_abstract; spread has field, value, n_else for values that several publications have.
     """
@@ -138,32 +141,101 @@ def judge(members: DataFrame, spread: DataFrame, rounds: int = ROUNDS) -> tuple[
     facts = facts.select("publication", "field", "value", F.coalesce("n_else", F.lit(0)).alias("n_else"), "pos", F.sort_array(F.array_except("all", "pos")).alias("neg"))
     facts = cut(facts.withColumn("pattern", F.xxhash64("field", "pos", "neg", "n_else")).drop("all"))
     patterns = facts.groupBy("pattern").agg(F.first("field").alias("field"), F.first("n_else").alias("n_else"), F.first("pos").alias("pos"), F.first("neg").alias("neg"), F.count(F.lit(1)).alias("n"))
-    votes = F.explode(F.concat(F.transform("pos", lambda s: F.struct(s.alias("source"), F.lit(1).alias("yes"))), F.transform("neg", lambda s: F.struct(s.alias("source"), F.lit(0).alias("yes")))))
-    ballots = cut(patterns.select("pattern", "field", "n_else", "n", votes.alias("v")).select("pattern", "field", "n_else", "n", "v.source", "v.yes"))
+    ballots = F.concat(F.transform("pos", lambda s: F.struct(s.alias("source"), F.lit(1).alias("yes"))), F.transform("neg", lambda s: F.struct(s.alias("source"), F.lit(0).alias("yes"))))
+    ballots = cut(patterns.select("pattern", "field", "n_else", "n", F.explode(ballots).alias("v")).select("pattern", "field", "n_else", "n", "v.source", "v.yes"))
     # the vote of another publication weighs as that of a source of usual quality that is silent here
     away = F.log(F.lit((1 - SENSITIVITY) / (1 - FALSE_POSITIVE)))
+    known = cut(ballots.select("source").distinct())
+    if known.limit(MOST_DRIVEN + 1).count() <= MOST_DRIVEN:
+        probability, quality = _driven(ballots, known, away, tolerance, most_rounds)
+    else:
+        probability, quality = _joined(ballots, away, tolerance, most_rounds)
+    facts = facts.join(probability, "pattern").select("publication", "field", "value", "n_else", "probability")
+    return facts, quality
+
+
+def _rates(tp, t, fp, f):
+    """(sensitivity, false-positive rate) out of expected counts, of columns or of arrays."""
+    return (tp + STRENGTH * SENSITIVITY) / (t + STRENGTH), (fp + STRENGTH * FALSE_POSITIVE) / (f + STRENGTH)
+
+
+def _sums(votes: DataFrame, by: str) -> DataFrame:
+    p, q = F.col("probability") * F.col("n"), (1 - F.col("probability")) * F.col("n")
+    return votes.groupBy("field", by).agg(F.sum(p * F.col("yes")).alias("tp"), F.sum(p).alias("t"), F.sum(q * F.col("yes")).alias("fp"), F.sum(q).alias("f"))
 
-    def expect(quality: DataFrame) -> DataFrame:
-        w = F.when(F.col("yes") == 1, F.log(F.col("sens") / F.col("fpr"))).otherwise(F.log((1 - F.col("sens")) / (1 - F.col("fpr"))))
-        p = ballots.join(quality, ["field", "source"]).groupBy("pattern").agg(F.sum(w).alias("w"), F.max("n_else").alias("n_else"), F.max("prior").alias("prior"))
-        return p.select("pattern", (1 / (1 + F.exp(-(F.col("w") + F.col("n_else") * away + F.log(F.col("prior") / (1 - F.col("prior"))))))).alias("probability"))
+
+def _warn(change: float, tolerance: float, rounds: int) -> None:
+    if change > tolerance:
+        warnings.warn(f"source quality still changes by {change:.4f} after {rounds} rounds", stacklevel=3)
+
+
+def _driven(ballots: DataFrame, known: DataFrame, away: Column, tolerance: float, most_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(probability of each pattern, quality) with the rates on the driver, of sources whose number has been checked. A round moves nothing but its sums."""
+    spark = ballots.sparkSession
+    names = sorted(r.source for r in known.collect())
+    place = spark.createDataFrame(list(enumerate(names)), "at int, source long")
+    seats = lambda yes: F.collect_list(F.when(F.col("yes") == yes, F.col("at")))
+    voting = cut(ballots.join(F.broadcast(place), "source").groupBy("pattern", "field", "n_else", "n").agg(seats(1).alias("for"), seats(0).alias("against")))
+    seat = lambda side, v: F.transform(side, lambda i: F.struct(i.alias("at"), F.lit(v).alias("yes")))
+    sens, fpr, prior = (np.full((len(FIELDS), len(names)), x) for x in (SENSITIVITY, FALSE_POSITIVE, 0.5))
+    prior = prior[:, :1]
+
+    def expect() -> DataFrame:
+        rows = [(k, *(x.tolist() for x in (np.log(sens[k] / fpr[k]), np.log((1 - sens[k]) / (1 - fpr[k])))), float(np.log(prior[k, 0] / (1 - prior[k, 0])))) for k in range(len(FIELDS))]
+        q = spark.createDataFrame(rows, "field int, w1 array<double>, w0 array<double>, p0 double")
+        total = lambda side, w: F.aggregate(side, F.lit(0.0), lambda t, i: t + F.get(w, i))
+        odds = total("for", "w1") + total("against", "w0") + F.col("n_else") * away + F.col("p0")
+        return voting.join(F.broadcast(q), "field").select("pattern", "field", "n", "for", "against", (1 / (1 + F.exp(-odds))).alias("probability"))
 
     # at first a value is as likely as its share of the votes
-    likely = ballots.groupBy("pattern").agg((F.avg("yes") / (1 + F.max("n_else"))).alias("probability"))
-    of_field = Window.partitionBy("field")
-    for k in range(rounds):
-        p = F.col("probability") * F.col("n")
-        q = (1 - F.col("probability")) * F.col("n")
-        m = ballots.join(likely, "pattern").groupBy("field", "source")
-        m = m.agg(F.sum(p * F.col("yes")).alias("tp"), F.sum(p).alias("t"), F.sum(q * F.col("yes")).alias("fp"), F.sum(q).alias("f"))
-        prior = F.greatest(F.least(F.sum("t").over(of_field) / F.sum(F.col("t") + F.col("f")).over(of_field), F.lit(0.95)), F.lit(0.05))
-        quality = m.select("field", "source", ((F.col("tp") + STRENGTH * SENSITIVITY) / (F.col("t") + STRENGTH)).alias("sens"), ((F.col("fp") + STRENGTH * FALSE_POSITIVE) / (F.col("f") + STRENGTH)).alias("fpr"), prior.alias("prior"))
-        quality = quality.select("field", "source", F.least(F.greatest("sens", F.lit(0.05)), F.lit(0.99)).alias("sens"), F.least("fpr", F.lit(0.95)).alias("fpr"), "prior")
-        if k + 1 < rounds:
-            likely = expect(quality)
-    quality = cut(quality)
-    facts = facts.join(expect(quality), "pattern").select("publication", "field", "value", "n_else", "probability")
-    return facts, quality.select("source", "field", F.col("sens").alias("sensitivity"), F.col("fpr").alias("false_positive_rate"))
+    likely = voting.withColumn("probability", F.size("for") / (F.size("for") + F.size("against")) / (1 + F.col("n_else")))
+    for k in range(1, most_rounds + 1):
+        votes = likely.select("field", "n", "probability", F.explode(F.concat(seat("for", 1), seat("against", 0))).alias("v")).select("field", "n", "probability", "v.at", "v.yes")
+        counts = np.zeros((4, len(FIELDS), len(names)))
+        for r in _sums(votes, "at").collect():
+            counts[:, r.field, r.at] = r.tp, r.t, r.fp, r.f
+        new = _rates(*counts)
+        new = np.clip(new[0], 0.05, 0.99), np.minimum(new[1], 0.95)
+        change = 1.0 if k == 1 else float(max(np.abs(new[0] - sens).max(initial=0), np.abs(new[1] - fpr).max(initial=0)))
+        sens, fpr = new
+        t, f = counts[1].sum(axis=1, keepdims=True), counts[3].sum(axis=1, keepdims=True)
+        prior = np.clip(np.divide(t, t + f, out=np.full_like(t, 0.5), where=t + f > 0), 0.05, 0.95)
+        likely = expect()
+        if change <= tolerance:
+            break
+    _warn(change, tolerance, k)
+    rows = [(names[i], j, float(sens[j, i]), float(fpr[j, i]), k, change) for j in range(len(FIELDS)) for i in np.flatnonzero(counts[1, j] + counts[3, j] > 0)]
+    quality = spark.createDataFrame(rows, "source long, field int, sensitivity double, false_positive_rate double, rounds int, change double")
+    return likely.select("pattern", "probability"), quality
+
+
+def _joined(ballots: DataFrame, away: Column, tolerance: float, most_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The same for any number of sources: rates are joined, and nothing but the greatest change reaches the driver."""
+
+    def expect(quality: DataFrame) -> DataFrame:
+        w = F.when(F.col("yes") == 1, F.log(F.col("sens") / F.col("fpr"))).otherwise(F.log((1 - F.col("sens")) / (1 - F.col("fpr"))))
+        odds = F.sum(w).over(Window.partitionBy("pattern")) + F.col("n_else") * away + F.log(F.col("prior") / (1 - F.col("prior")))
+        return ballots.join(quality.select("field", "source", "sens", "fpr", "prior"), ["field", "source"]).select("pattern", "field", "source", "yes", "n", (1 / (1 + F.exp(-odds))).alias("probability"))
+
+    likely = ballots.withColumn("probability", F.avg("yes").over(Window.partitionBy("pattern")) / (1 + F.col("n_else")))
+    quality = None
+    for k in range(1, most_rounds + 1):
+        m = _sums(likely, "source")
+        prior = m.groupBy("field").agg(F.greatest(F.least(F.sum("t") / F.sum(F.col("t") + F.col("f")), F.lit(0.95)), F.lit(0.05)).alias("prior"))  # a row for each field
+        sens, fpr = _rates(*(F.col(c) for c in ("tp", "t", "fp", "f")))
+        new = m.join(prior, "field").select("field", "source", F.least(F.greatest(sens, F.lit(0.05)), F.lit(0.99)).alias("sens"), F.least(fpr, F.lit(0.95)).alias("fpr"), "prior")
+        moved = F.lit(1.0)
+        if quality is not None:
+            new = new.join(quality.select("field", "source", F.col("sens").alias("_s"), F.col("fpr").alias("_f")), ["field", "source"])
+            moved = F.greatest(F.abs(F.col("sens") - F.col("_s")), F.abs(F.col("fpr") - F.col("_f")))
+        quality = settle(new.select("field", "source", "sens", "fpr", "prior", moved.alias("moved")))
+        change = quality.agg(F.max("moved")).first()[0] or 0.0
+        likely = expect(quality)
+        if change <= tolerance:
+            break
+    _warn(change, tolerance, k)
+    rates = quality.select("source", "field", F.col("sens").alias("sensitivity"), F.col("fpr").alias("false_positive_rate"), F.lit(k).alias("rounds"), F.lit(change).alias("change"))
+    return likely.groupBy("pattern").agg(F.first("probability").alias("probability")), rates
 
 
 def _each() -> Column:
@@ -208,21 +280,28 @@ def best_representatives(entries: DataFrame, sources: DataFrame | None = None) -
 
 
 def merged_entries(entries: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """One row for each publication of two or more records: surviving id, abstract and doi, the probability of each, and how many values of the field are judged true."""
-    survivors, _, facts, _ = best_representatives(entries, sources)
+    """One row for each publication of two or more records: surviving id, abstract and doi, the probability of each, and in `<field>_true` every value of the field that is judged true (one record's spelling of each), the likeliest first."""
+    survivors, members, facts, _ = best_representatives(entries, sources)
     named = facts.withColumn("field_name", F.get(F.array(*map(F.lit, FIELDS)), F.col("field"))).select("publication", "field_name", "value", "probability")
-    p = survivors.join(named, ["publication", "field_name", "value"], "left")
-    true = named.where("probability >= 0.5").groupBy("publication", "field_name").agg(F.count(F.lit(1)).alias("n_true"))
-    p = p.join(true, ["publication", "field_name"], "left")
-    texts = entries.withColumn("_names", lower_names()).select("entry_id", "id", field("abstract").alias("abstract"), field("doi").alias("doi"))
-    p = p.join(texts, "entry_id")
-    out = [F.first(F.when(F.col("field_name") == f, F.col(f)), ignorenulls=True).alias(f) for f in FIELDS]
-    out += [F.first(F.when(F.col("field_name") == f, F.col(c)), ignorenulls=True).alias(f"{f}_{n}") for f in FIELDS for c, n in (("probability", "probability"), ("n_true", "true_values"))]
-    return p.groupBy("publication").agg(F.max("n_records").alias("n_records"), *out)
+    # the record that stands for each value: the one that survives, else that of the smallest entry_id
+    of_value = members.select("publication", "entry_id", _each()).select("publication", F.get(F.array(*map(F.lit, FIELDS)), F.col("c.field")).alias("field_name"), F.col("c.value").alias("value"), "entry_id").where("value is not null")
+    of_value = of_value.groupBy("publication", "field_name", "value").agg(F.min("entry_id").alias("first"))
+    kept = survivors.select("publication", "field_name", "value", "n_records", F.col("entry_id").alias("survivor"))
+    v = named.join(of_value, ["publication", "field_name", "value"]).join(kept, ["publication", "field_name", "value"], "left").where("survivor is not null or probability >= 0.5")
+    v = cut(v.select("publication", "field_name", "probability", "n_records", (F.col("survivor").isNotNull()).alias("survives"), F.coalesce("survivor", "first").alias("entry_id")))
+    texts = keep_possible(entries, "entry_id", v.select("entry_id")).withColumn("_names", lower_names()).select("entry_id", "id", field("abstract").alias("abstract"), field("doi").alias("doi"))
+    v = v.join(texts, "entry_id").withColumn("text", F.coalesce(*[F.when(F.col("field_name") == f, F.col(f)) for f in FIELDS])).select("publication", "field_name", "probability", "n_records", "survives", "text")
+    out = []
+    for f in FIELDS:
+        here = F.col("field_name") == f
+        out += [F.max(F.when(here & F.col("survives"), F.col("text"))).alias(f), F.max(F.when(here & F.col("survives"), F.col("probability"))).alias(f"{f}_probability")]
+        true = F.collect_list(F.when(here & (F.col("probability") >= 0.5), F.struct((-F.col("probability")).alias("p"), "text")))
+        out.append(F.transform(F.array_sort(true), lambda x: x["text"]).alias(f"{f}_true"))
+    return v.groupBy("publication").agg(F.max("n_records").alias("n_records"), *out).where("n_records is not null")
 
 
 def source_quality(entries: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """source, field_name, sensitivity, false_positive_rate."""
+    """source, field_name, sensitivity, false_positive_rate, and in how many rounds to what change they were found."""
     quality = best_representatives(entries, sources)[3]
     names = entries.select("src").distinct().select("src", F.xxhash64("src").alias("source"))
-    return quality.join(names, "source").select(F.col("src").alias("source"), F.get(F.array(*map(F.lit, FIELDS)), F.col("field")).alias("field_name"), "sensitivity", "false_positive_rate")
+    return quality.join(names, "source").select(F.col("src").alias("source"), F.get(F.array(*map(F.lit, FIELDS)), F.col("field")).alias("field_name"), "sensitivity", "false_positive_rate", "rounds", "change")

@@ -68,22 +68,54 @@ def test_survivors_follow_the_order(spark):
         ("lib", "k1", {"title": "On the {Counting} of pages in old libraries: a study", "author": "Doe, Jane", "year": "2001", "doi": "10.1234/x.1"}),
         ("web", "k2", {"Title": "On the counting of pages in old libraries", "Author": "Jane Doe", "Year": "2001", "Abstract": f"<p>{long}</p>", "doi": "none"}),
         ("pub", "", {"title": "On the countng of pages in old libraries: a study", "author": "Doe, J. and Roe, Max", "year": "{2001}", "abstract": long[:20], "doi": "10.99"}),
-        (None, "k4", {"title": "On the counting of pages in old libraries: a study, Part 2", "author": "Doe, Jane", "year": "2001", "doi": "10.1234/x.1"}),
+        (None, "k4", {"title": "On the counting of pages in old libraries: a study, Part 2", "author": "Doe, Jane", "year": "2001", "doi": "10.1234/x.1", "abstract": "n/a"}),
         ("pub", "k4", {"title": "Quite another thing about reading rooms", "author": "Roe, Max", "year": "2001", "doi": "10.1234/x.1", "abstract": "N/A"}),
         ("web", "k9", {"title": "Quite another thing about reading rooms", "author": "Roe, Max", "year": "2001"}),
         ("web", None, None),
         ("web", None, {"title": None}),
-    ]
+    ] + [("web", f"m{k}", {"title": t, "abstract": "N.A."}) for k, t in enumerate(("Walking home", "The seventh door", "Rooms of glass", "An inland harbour"))]
     sources = spark.createDataFrame([("pub", 1), ("lib", 2), ("web", None)], "src string, trust_rank int")
     got = {(r.entry_id, r.field_name) for r in survivors.best_representatives(bib(spark, rows), sources)[0].collect()}
     assert got == {(0, "id"), (0, "doi"), (1, "abstract"), (4, "id"), (4, "doi")}
 
 
+def test_the_model_tells_remarks_from_abstracts(spark):
+    """Three sources put the same remark where an abstract is missing; no list knows it. Without the model it would survive."""
+    rng, rows, want = random.Random(8), [], set()
+    for p in range(120):
+        title = f"{''.join(rng.choice('bcdfgklmnprst') + rng.choice('aeiou') for _ in range(9))} and {''.join(rng.choice('bcdfgklmnprst') + rng.choice('aeiou') for _ in range(9))}"
+        for s in rng.sample(["pub", "lib", "web", "own"], 2):
+            f = {"title": title, "year": "2001"}
+            if s in ("pub", "lib"):
+                f["abstract"] = f"In this text the writer of {title} says what was found in it."
+                want.add(p)
+            else:
+                f["abstract"] = "There is nothing that we could put in this place."
+            rows.append((s, f"k{p}", f))
+    best = survivors.best_representatives(bib(spark, rows))
+    got = {r.entry_id // 2 for r in best[0].where("field_name = 'abstract'").collect()}
+    assert got == want and len(want) < 120
+    remark = best[2].where("field = 2 and n_else > 10").agg(F.max("probability"), F.count(F.lit(1))).first()
+    assert remark[0] < 0.5 and remark[1] > 20
+    assert best[3].agg(F.max("change")).first()[0] <= survivors.TOLERANCE
+    with pytest.MonkeyPatch.context() as m:  # the model switched off: all values are true
+        m.setattr(survivors, "judge", lambda *a, real=survivors.judge, **k: (real(*a, **k)[0].withColumn("probability", F.lit(1.0)), None))
+        assert len({r.entry_id // 2 for r in survivors.best_representatives(bib(spark, rows))[0].where("field_name = 'abstract'").collect()}) == 120
+
+
+def test_all_true_values_are_kept(spark):
+    rows = [(s, f"k{p}", {"title": f"The {w} of the {v} garden", "year": "1999", "doi": f"10.1234/{p}.{'a' if s < 's3' else 'b'}"}) for p, (w, v) in enumerate([(w, v) for w in ("walls", "trees", "ponds", "birds") for v in ("northern", "forgotten", "flooded")]) for s in ("s1", "s2", "s3", "s4")]
+    r = survivors.merged_entries(bib(spark, rows)).collect()
+    assert len(r) == 12 and all(x.n_records == 4 and set(x.doi_true) == {x.doi[:-1] + "a", x.doi[:-1] + "b"} for x in r)
+
+
 def test_survivors_of_nothing(spark):
     assert survivors.best_representatives(bib(spark, [("a", "b", {"title": "c"})]).where("entry_id < 0"))[0].count() == 0
 
 
-def test_quality_tells_sources_apart(spark):
+@pytest.mark.parametrize("driven", [1000, 0])
+def test_quality_tells_sources_apart(spark, monkeypatch, driven):
+    monkeypatch.setattr(survivors, "MOST_DRIVEN", driven)
     rng = random.Random(3)
     wrong = {"good": 0.02, "fine": 0.03, "fair": 0.1, "weak": 0.3, "bad": 0.7}
     members = [(p, s, 1_000_000 + 10 * p + k if rng.random() < wrong[s] else p, None, None) for p in range(600) for k, s in enumerate(wrong)]

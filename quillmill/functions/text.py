@@ -199,8 +199,8 @@ def pack_chunks(blocks: Column, limit: Column) -> Column:
     return F.aggregate(parts, start, step, lambda a: F.concat(a["done"], F.when(a["cur"] != "", F.array(a["cur"])).otherwise(empty)))
 
 
-def parse_colour(c: Column) -> Column:
-    """struct<r, g, b> of #rgb, #rrggbb, a name, or r,g,b; null if it is none of these."""
+def parse_colour(c: Column, strict: bool = False) -> Column:
+    """struct<r, g, b> of #rgb, #rrggbb, a name, or r,g,b; if it is none of these null, or an error where strict."""
     s = F.lower(F.trim(c))
     named = F.lit(None).cast("struct<r:int,g:int,b:int>")
     rgb = lambda *x: F.struct(*[v.cast("int").alias(k) for k, v in zip("rgb", x)])
@@ -209,6 +209,8 @@ def parse_colour(c: Column) -> Column:
     six = [F.conv(F.substring(s, k, 2), 16, 10) for k in (2, 4, 6)]
     three = [F.conv(F.repeat(F.substring(s, k, 1), F.lit(2)), 16, 10) for k in (2, 3, 4)]
     parts = [F.trim(F.get(F.split(s, ","), F.lit(k))) for k in range(3)]
+    if strict:
+        named = F.coalesce(named, F.raise_error(F.concat(F.lit("not a colour: "), c)).cast("struct<r:int,g:int,b:int>"))
     return F.when(s.rlike("^#[0-9a-f]{6}$"), rgb(*six)).when(s.rlike("^#[0-9a-f]{3}$"), rgb(*three)).when(s.rlike(r"^\s*\d+\s*,\s*\d+\s*,\s*\d+\s*(,.*)?$"), rgb(*parts)).otherwise(named)
 
 
@@ -220,17 +222,43 @@ def track_spec(c: Column) -> Column:
 
 
 def output_template(c: Column) -> Column:
-    """A file name template: the default where none is given, with the extension's place added if it is missing."""
-    t = F.coalesce(F.nullif(c, F.lit("")), F.lit("%(title)s.%(ext)s"))
-    return F.when(F.contains(t, F.lit("%(ext)s")), t).otherwise(F.concat(t, F.lit(".%(ext)s")))
+    """A file name template: the default where none is given, with the extension's place added unless it ends in it."""
+    return F.when(c.isNull(), "%(title)s.%(ext)s").when(F.endswith(c, F.lit(".%(ext)s")), c).otherwise(F.concat(c, F.lit(".%(ext)s")))
 
 
-def separation_command(path: Column, model: Column, out: Column, mp3: Column, float32: Column, int24: Column, jobs: Column) -> Column:
-    """array<string> of a stem separation call; of the formats mp3 comes before float32 before int24."""
+# Audio formats whose quality can be chosen, and those that can hold a cover.
+WITH_QUALITY, WITH_COVER = ["mp3", "m4a", "opus"], ["m4a", "mp3"]
+
+
+def audio_options(kind: Column, quality: Column) -> Column:
+    """struct<codec, quality, cover>: the quality where the format has one, and whether a thumbnail becomes its cover."""
+    return F.struct(kind.alias("codec"), F.when(kind.isin(WITH_QUALITY), quality.cast("string")).alias("quality"), F.coalesce(kind.isin(WITH_COVER), F.lit(False)).alias("cover"))
+
+
+def separation_command(path: Column, model: Column, out: Column, mp3: Column, float32: Column, int24: Column, jobs: Column, strict: bool = False) -> Column:
+    """array<string> of a stem separation call; of the formats mp3 comes before float32 before int24. Where strict, more than one is an error."""
     none = F.array().cast("array<string>")
     kind = F.when(mp3, F.array(F.lit("--mp3"))).when(float32, F.array(F.lit("--float32"))).when(int24, F.array(F.lit("--int24"))).otherwise(none)
     n = F.when(jobs > 0, F.array(F.lit("-j"), jobs.cast("string"))).otherwise(none)
-    return F.concat(F.array(F.lit("demucs"), F.lit("-n"), model, F.lit("-o"), out), kind, n, F.array(path))
+    whole = F.concat(F.array(F.lit("demucs"), F.lit("-n"), model, F.lit("-o"), out), kind, n, F.array(path))
+    if not strict:
+        return whole
+    many = sum((F.coalesce(x, F.lit(False)).cast("int") for x in (mp3, float32, int24)), F.lit(0)) > 1
+    return F.when(many, F.raise_error(F.lit("only one output format can be chosen")).cast("array<string>")).otherwise(whole)
+
+
+def page_choice(spec: Column, n_pages: Column) -> Column:
+    """struct<kept, skipped, error>: 0-based pages of a list (see parse_page_range) that exist, those that don't, and an error if none is left."""
+    wanted = parse_page_range(spec)
+    inside = lambda i: (i >= 0) & (i < n_pages)
+    kept = F.filter(wanted, inside)
+    error = F.when(F.size(wanted) == 0, "no page range").when(F.size(kept) == 0, "no page is left")
+    return F.struct(kept.alias("kept"), F.filter(wanted, lambda i: ~inside(i)).alias("skipped"), error.alias("error"))
+
+
+def speaker_allowed(speaker: Column, supported: Column) -> Column:
+    """Whether a voice can be used: any, where the model names none."""
+    return F.when(F.coalesce(F.size(supported), F.lit(0)) <= 0, True).otherwise(F.array_contains(supported, speaker))
 
 
 def ocr_payload(model: Column, url: Column, images: Column, table_format: Column, header: Column, footer: Column, blocks: Column, scores: Column) -> Column:

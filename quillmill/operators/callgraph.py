@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Suffixes of source files.
 LANGUAGES = {".py": "python", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp"}
 C_WORDS = {"if", "for", "while", "switch", "return", "sizeof", "catch", "else", "do", "case", "new", "delete", "throw", "alignof", "decltype", "static_assert", "typeof", "defined"}
 
@@ -39,9 +40,9 @@ class _Calls(ast.NodeVisitor):
         if self.within and called:
             self.edges.append((self.within[-1], called))
             second = node.args[1] if len(node.args) > 1 else None
-            if called in ("add_node", "add_conditional_edges") and isinstance(second, ast.Name):
+            if called.endswith(("add_node", "add_conditional_edges")) and isinstance(second, ast.Name):
                 self.edges.append((self.within[-1], second.id))
-            elif called == "add_node" and isinstance(second, ast.Lambda) and isinstance(second.body, ast.Call):
+            elif called.endswith("add_node") and isinstance(second, ast.Lambda) and isinstance(second.body, ast.Call):
                 f = second.body.func
                 name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
                 if name:
@@ -122,6 +123,7 @@ def dot(graph: DataFrame) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     ends = graph.select("file", F.explode(F.concat(F.array("name"), "callees")).alias("n")).distinct().groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda x: F.concat(F.lit("  "), quoted(x), F.lit(";"))), "\n").alias("nodes"))
     e = graph.select("file", "name", F.array_distinct("callees").alias("c")).groupBy("file").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("name", "c"))), lambda x: F.transform(x["c"], lambda c: F.concat(F.lit("  "), quoted(x["name"]), F.lit(" -> "), quoted(c), F.lit(";"))))).alias("edges"))
+    # fixed values: the header
     head = F.concat(F.lit('digraph G {\n  label="'), "file", F.lit('";\n  labelloc=t;\n  rankdir=LR;\n  node [shape=box, style=rounded, fontname="Helvetica"];\n  edge [fontname="Helvetica"];\n  ordering=out;\n'))
     body = F.concat_ws("\n", "nodes", F.array_join("edges", "\n"))
     return ends.join(e, "file").select("file", F.concat(head, F.regexp_replace(body, r"\n$", ""), F.lit("\n}")).alias("dot"))

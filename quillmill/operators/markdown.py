@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quillmill.functions.text import OMISSION_CUES, dedupe_adjacent, pack_chunks
-from quillmill.session import spread
 
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
 HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -181,8 +180,8 @@ def speakable_blocks(markdown: pd.Series, lang: pd.Series) -> pd.Series:
 
 
 def narration_chunks(docs: DataFrame, key: str, markdown: str, lang: Column, limit: int = 900) -> DataFrame:
-    """key, chunk_no, chunk: chunks to narrate of Markdown texts: blocks, without repeats, split and packed. One pass of Python; no shuffle but for tables of few row groups."""
-    b = spread(docs.select(key, F.col(markdown).alias("_text"), lang.alias("_lang"))).select(key, speakable_blocks("_text", "_lang").alias("_blocks"))
+    """key, chunk_no, chunk: chunks to narrate of Markdown texts: blocks, without repeats, split and packed. One pass of Python; no shuffle."""
+    b = docs.select(key, F.col(markdown).alias("_text"), lang.alias("_lang")).select(key, speakable_blocks("_text", "_lang").alias("_blocks"))
     c = b.select(key, pack_chunks(dedupe_adjacent(F.col("_blocks")), F.lit(limit)).alias("_chunks"))
     # outer, else a filter on the array's size is put below, which computes all of it once more
     return c.select(key, F.posexplode_outer("_chunks").alias("chunk_no", "chunk")).where("chunk_no is not null")

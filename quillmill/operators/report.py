@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as T
 
 
-def token_report(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, tokens, chars, ratio; null texts count as empty. Order by desc tokens, then key, where it is shown."""
+def token_report(docs: DataFrame, key: str, text: str, ordered: bool = False) -> DataFrame:
+    """key, tokens, chars, ratio; null texts count as empty. If ordered, most tokens first, then by key."""
     t = docs.select(key, F.coalesce(text, F.lit("")).alias("_t"))
     t = t.select(key, T.basic_tokens(F.col("_t")).alias("tokens"), F.length("_t").alias("chars"))
-    return t.withColumn("ratio", T.ratio(F.col("tokens"), F.col("chars")))
+    t = t.withColumn("ratio", T.ratio(F.col("tokens"), F.col("chars")))
+    return t.orderBy(F.desc("tokens"), key) if ordered else t
 
 
 def with_total(report: DataFrame, key: str) -> DataFrame:
@@ -21,9 +22,10 @@ def with_total(report: DataFrame, key: str) -> DataFrame:
     return r.withColumn("ratio", T.ratio(F.col("tokens"), F.col("chars")))
 
 
-def size_report(files: DataFrame, key: str, content: str) -> DataFrame:
-    """key, bytes, megabytes."""
-    return files.select(key, F.octet_length(F.coalesce(content, F.lit(""))).alias("bytes")).withColumn("megabytes", T.megabytes(F.col("bytes")))
+def size_report(files: DataFrame, key: str, content: str, ordered: bool = False) -> DataFrame:
+    """key, bytes, megabytes. If ordered, the largest first, then by key."""
+    r = files.select(key, F.octet_length(F.coalesce(content, F.lit(""))).alias("bytes")).withColumn("megabytes", T.megabytes(F.col("bytes")))
+    return r.orderBy(F.desc("bytes"), key) if ordered else r
 
 
 def numbered_batches(df: DataFrame, within: str, order: str, size: int) -> DataFrame:

@@ -1,14 +1,13 @@
-"""BibTeX as a data source: spark.read.format("quillmill_bibtex").load(path) after spark.dataSource.register(BibtexSource)."""
+"""BibTeX files as entries, read through Spark's file systems."""
 
 from __future__ import annotations
 
-import glob
-import os
 import re
 import unicodedata
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 
 STANDARD = {"article", "book", "booklet", "conference", "inbook", "incollection", "inproceedings", "manual", "mastersthesis", "misc", "phdthesis", "proceedings", "techreport", "unpublished"}
 MONTHS = {m[:3].lower(): m for m in "January February March April May June July August September October November December".split()}
@@ -124,45 +123,30 @@ def parse(text: str) -> list[tuple[str, str, dict[str, str]]]:
     return list(_Reader(text).entries())
 
 
-class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def entries_of(files: DataFrame, unicode: bool = False, nonstandard: bool = True) -> DataFrame:
+    """src, pos, entry_type, id, fields, error of files (path, content): one row for each entry; a file that can't be read gives one row with an error.
 
-
-class _BibtexReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path = options.get("path", "")
-        self.unicode = str(options.get("unicode", "false")).lower() == "true"
-        self.nonstandard = str(options.get("nonstandard", "true")).lower() == "true"
-
-    def partitions(self) -> list[_Part]:
-        files = glob.glob(os.path.join(self.path, "**", "*.bib"), recursive=True) if os.path.isdir(self.path) else glob.glob(self.path)
-        return [_Part(p) for p in sorted(files)]
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        try:
-            with open(partition.path, encoding="utf-8-sig") as f:
-                found = parse(f.read())
-        except (BibtexError, UnicodeDecodeError, OSError) as e:
-            yield (os.path.basename(partition.path), None, None, None, None, str(e))
-            return
-        kept = [x for x in found if self.nonstandard or x[0] in STANDARD]
-        for pos, (kind, key, fields) in enumerate(kept):
-            yield (os.path.basename(partition.path), pos, kind, key, {k: to_unicode(v) if self.unicode else v for k, v in fields.items()}, None)
-
-
-class BibtexSource(DataSource):
-    """src, pos, entry_type, id, fields, error: one row for each entry; a file that can't be read gives one row with an error.
-
-    Options: unicode (LaTeX accents as characters), nonstandard (keep entry types that aren't standard).
+    unicode: LaTeX accents as characters; nonstandard: keep entry types that aren't standard.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "quillmill_bibtex"
-
-    def schema(self) -> str:
-        return "src string, pos long, entry_type string, id string, fields map<string,string>, error string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _BibtexReader(self.options)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                src = path.rsplit("/", 1)[-1]
+                try:
+                    found = parse(bytes(content).decode("utf-8-sig"))
+                except (BibtexError, UnicodeDecodeError) as e:
+                    rows.append((src, None, None, None, None, str(e)))
+                    continue
+                kept = [x for x in found if nonstandard or x[0] in STANDARD]
+                rows += [(src, pos, kind, key, {k: to_unicode(v) if unicode else v for k, v in fields.items()}, None) for pos, (kind, key, fields) in enumerate(kept)]
+            yield pd.DataFrame(rows, columns=["src", "pos", "entry_type", "id", "fields", "error"]).astype({"pos": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "src string, pos long, entry_type string, id string, fields map<string,string>, error string")
+
+
+def read(spark: SparkSession, path: str, unicode: bool = False, nonstandard: bool = True) -> DataFrame:
+    """The entries of a .bib file or of all in a folder and below, on any file system that Spark reads. A task reads files of several megabytes together."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bib").load(path)
+    return entries_of(files, unicode, nonstandard)

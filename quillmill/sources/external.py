@@ -6,6 +6,7 @@ An engine is loaded once for each task and fed batches; a failure is the row's,
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -77,3 +78,13 @@ def device(kind: str, requested: str, has_gpu: bool) -> tuple[str, str]:
         raise RuntimeError("speech synthesis needs a GPU")
     on = requested if requested != "auto" else "cuda" if has_gpu else "cpu"
     return on, "float16" if on == "cuda" else "int8"
+
+
+def model_path(name: str, default: str) -> str:
+    """The path of a model, or the name of one that an engine knows. The default model must be there: nothing is downloaded silently."""
+    path = os.path.expanduser(name)
+    if os.path.exists(path):
+        return os.path.realpath(path)
+    if name == default:
+        raise RuntimeError(f"the default model {default} isn't there; fetch it first, or name another")
+    return name

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as T
 from quillmill.operators import callgraph, ocr
 
+# Suffixes of audio that can be separated, and that speech can be recognised in.
 AUDIO_SUFFIXES = [".mp3", ".wav", ".flac", ".ogg", ".m4a", ".aac", ".wma"]
 SPEECH_SUFFIXES = [".mp3", ".wav", ".flac", ".ogg", ".m4a", ".webm"]
 
@@ -43,11 +44,20 @@ def audio_files(spark: SparkSession, path: str) -> DataFrame:
     return collection(spark, path, AUDIO_SUFFIXES)
 
 
+def speech_files(spark: SparkSession, path: str) -> DataFrame:
+    return collection(spark, path, SPEECH_SUFFIXES)
+
+
+def rejected(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
+    """path, error of the files that a collection of these suffixes leaves out."""
+    return listing(spark, path, False).where(~T.suffix_of(F.col("path")).isin(suffixes)).select("path", F.concat(F.lit("not supported: "), T.suffix_of(F.col("path"))).alias("error"))
+
+
 def text_tree(spark: SparkSession, path: str, all_files: bool = False, single_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, rejects). texts: path, text (newlines made one), chars, bytes, is_text; rejects: path, error.
 
     Only files of the known suffixes, unless all_files, or a single file is named: the filter is a glob, so other files aren't read.
-    Files that aren't UTF-8 are rejected by themselves. Names that begin with `_` or `.` are hidden to Spark's file index.
+    Files that aren't UTF-8 are rejected by themselves. Names that begin with `_` or `.`, and files of no length, are hidden to Spark's file index.
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if not (all_files or single_file):
@@ -67,11 +77,11 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, language of Python, C and C++ files."""
-    globs = ",".join("*" + s for s in callgraph.LANGUAGES)
-    r = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="{" + globs + "}")
+    """path, text, language, error: Python, C and C++ files; a file of another language has an error and no text."""
+    r = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     p = F.col("_metadata.file_path")
-    return r.select(p.alias("path"), F.col("value").alias("text"), callgraph.language(p).alias("language"))
+    known = callgraph.language(p).isNotNull()
+    return r.select(p.alias("path"), F.when(known, F.col("value")).alias("text"), callgraph.language(p).alias("language"), F.when(~known, "unknown language").alias("error"))
 
 
 def ocr_responses(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import wave
 from collections.abc import Iterator
 
@@ -17,9 +18,9 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
 
     Files are written beside their place and then renamed, so a task that is run again does no harm. An action on the result writes.
     """
-    os.makedirs(folder, exist_ok=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
         for b in batches:
             rows = []
             for n, c in b.itertuples(index=False, name=None):
@@ -74,3 +75,40 @@ def concatenated_wav(chunks: DataFrame, group: str, order: str, wav: str) -> Dat
 
     t = chunks.schema[group].dataType.simpleString()
     return chunks.groupBy(group).applyInPandas(run, f"{group} {t}, wav binary, seconds double, error string")
+
+
+def write_wavs(samples: DataFrame, folder: str, group: str, order: str = "sample_idx", value: str = "value", rate: int = 44_100, channels: int = 1) -> DataFrame:
+    """name, frames, error: one 16-bit WAV for each group, its samples in order, in a folder that all executors share. An action writes.
+
+    Groups are sorted within tasks and written as they come, so a long one needs no memory.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        at, out, part, path, n = None, None, "", "", 0
+
+        def close() -> list[tuple]:
+            if out is None:
+                return []
+            out.close()
+            os.replace(part, path)
+            return [(os.path.basename(path), n // channels, None)]
+
+        for b in batches:
+            done = []
+            for key, g in b.groupby(group, sort=False):
+                if key != at:
+                    done += close()
+                    path = os.path.join(folder, re.sub(r"[^A-Za-z0-9._-]", "_", str(key)) + ".wav")
+                    part = f"{path}.{os.getpid()}.part"
+                    at, n, out = key, 0, wave.open(part, "wb")
+                    out.setnchannels(channels)
+                    out.setsampwidth(2)
+                    out.setframerate(rate)
+                out.writeframesraw(g[value].to_numpy("<i2").tobytes())
+                n += len(g)
+            yield pd.DataFrame(done, columns=["name", "frames", "error"])
+        yield pd.DataFrame(close(), columns=["name", "frames", "error"])
+
+    t = samples.select(F.col(group).cast("string").alias(group), order, F.col(value).cast("int").alias(value)).where(F.col(group).isNotNull())
+    return t.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, "name string, frames long, error string")

@@ -62,12 +62,11 @@ def test_empty_and_wrong_arguments(spark):
 def test_bibtex_source(spark, tmp_path):
     (tmp_path / "a.bib").write_text('@string{j = "Journal"}\n@comment{x}\n@Article{k1, title = {A {B} \\"{o}}, journal = j # " X", year = 1999}\n@weird{k2, note="n"}\n')
     (tmp_path / "b.bib").write_text("@article{k3, title = {open\n")
-    spark.dataSource.register(bibtex.BibtexSource)
-    rows = {(r.src, r.id): r for r in spark.read.format("quillmill_bibtex").option("unicode", "true").load(str(tmp_path)).collect()}
+    rows = {(r.src, r.id): r for r in bibtex.read(spark, str(tmp_path), unicode=True).collect()}
     assert rows[("a.bib", "k1")].fields == {"title": "A B ö", "journal": "Journal X", "year": "1999"}
     assert rows[("a.bib", "k2")].pos == 1
     assert rows[("b.bib", None)].error
-    kept = spark.read.format("quillmill_bibtex").option("nonstandard", "false").load(str(tmp_path)).where("id is not null").collect()
+    kept = bibtex.read(spark, str(tmp_path), nonstandard=False).where("id is not null").collect()
     assert [r.id for r in kept] == ["k1"]
 
 

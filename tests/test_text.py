@@ -22,7 +22,7 @@ def test_space_preview_and_files(spark):
     assert one(spark, "a/Foo's_3rd-2a.png", T.filename_title) == "Foo'S 3Rd 2A"
     assert one(spark, "data:image/JPEG;base64,xx", T.data_uri_suffix) == ".jpg"
     assert one(spark, None, T.data_uri_suffix) == ".png"
-    assert one(spark, "", T.output_template) == "%(title)s.%(ext)s"
+    assert one(spark, None, T.output_template) == "%(title)s.%(ext)s" and one(spark, "", T.output_template) == ".%(ext)s" and one(spark, "%(ext)s.x", T.output_template) == "%(ext)s.x.%(ext)s"
 
 
 def test_markdown_cleaning(spark):

@@ -2,18 +2,22 @@
 
 1. Spellings are counted, then read into forms: folded family name and given names, or the words of an organisation. Where
    nothing marks the family name, the corpus tells which word is a given name (those that many families share).
-2. Metric-space partitioning, under the edit metric of Damerau and Levenshtein. The pivots are strings of one repeated letter,
-   long enough that the distance to a pivot is its length less the count of that letter; a name's cell is the vector of its
-   distances, that is its letters in order. By the triangle inequality a name within radius 1 has a distance vector that
-   differs in at most one letter more or less on each side, so each name is put into its own cell and replicated into the cells on
-   its boundary, one for each letter left out. Within a cell the metric itself is computed. Any pair within the radius
-   meets in some cell; cells hold names of the same letters only, however many names there are.
-3. Forms of families within the radius are compared: initials, nicknames, missing middle names, abbreviated words, one misspelt word.
-   Each form is attached to the likeliest form that says more, or is written more often; the trees are the entities. So an initial
-   that fits two people doesn't merge them.
-
-Only distinct spellings are shuffled after the first count. Nulls: records without authors have no spellings; blank ones
-are dropped. Repeated rows add to the counts. An empty table gives no rows.
+2. Metric-space partitioning. The distance of two names is the sum of the edit distances of Damerau and Levenshtein of their words, family
+   name and given names alike; it is a metric on names of as many words. Names within radius 1 differ in one word, by one edit, so the
+   words are partitioned. The pivots are strings of one repeated letter, long enough that the distance to a pivot is a word's length less the
+   count of that letter; a word's cell is the vector of its distances, that is its letters in order. By the triangle inequality a word
+   within the radius has a vector that differs in at most one letter more or less on each side, so each word is put into its own cell
+   and replicated into the cells on its boundary, one for each letter left out. Within a cell the metric itself is computed. Any pair within
+   the radius meets in some cell; cells hold words of the same letters only, however many names there are. A radius of 0 switches it off.
+3. What a name may be short for. Each form announces all its shorter forms (initials, later names left out) under keys, with their cost;
+   of each key only the cheapest and most frequent form is kept, so a common surname costs no pairs. A form asks under its own key, and under those
+   with one word misspelt or a nickname put right. Each form is attached to the cheapest answer; the trees are the entities. So an
+   initial that fits two people doesn't merge them.
+4. Nicknames are learned: where records of one title and year have, at the same place among the authors, the same family name with two
+   different given names, and that in two publications or more, the rarer name is taken for a nickname of the other.
+
+Only distinct spellings are shuffled after the first count, and (title, place, form) once. Nulls: records without authors have no spellings;
+blank ones are dropped; records without a title teach no nicknames. Repeated rows add to the counts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,21 +44,12 @@ LETTERS = {"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d",
 LATEX = {"aa": "a", "o": "o", "l": "l", "ss": "ss", "ae": "ae", "oe": "oe", "i": "i", "j": "j"}
 PARTICLES = {"van", "der", "den", "von", "zu", "zur", "de", "da", "do", "dos", "das", "del", "di", "du", "la", "le", "ten", "ter"}
 SKIPPED = {"the", "of", "for", "and", "de", "da", "do", "e", "in", "on", "at"}
-# Nicknames.
-NICKNAMES = {
-    "alex": "alexander alexandra alexandre", "sandy": "alexander alexandra", "xander": "alexander", "sasha": "alexander alexandra", "al": "alexander albert", "bob": "robert", "rob": "robert", "bobby": "robert", "beto": "roberto alberto umberto", "bill": "william",
-    "will": "william", "billy": "william", "liam": "william", "willy": "william", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kat": "katherine", "kit": "katherine christopher", "kay": "katherine", "ze": "jose", "pepe": "jose",
-    "edu": "eduardo", "dudu": "eduardo", "duda": "eduardo eduarda", "ed": "edward eduardo", "eddie": "edward", "ted": "edward theodore", "ned": "edward", "teddy": "edward theodore", "rick": "richard frederick", "dick": "richard", "rich": "richard", "richie": "richard",
-    "fred": "frederick", "freddy": "frederick", "freddie": "frederick", "fritz": "frederick friedrich", "mike": "michael", "mick": "michael", "mickey": "michael", "misha": "michael", "becky": "rebecca", "becca": "rebecca", "sue": "susannah susan", "susie": "susannah susan",
-    "suzy": "susannah susan", "sukie": "susannah", "nico": "nicolau nicholas nicolas", "nick": "nicolau nicholas", "bella": "isabella", "isa": "isabella", "bel": "isabella", "izzy": "isabella", "dora": "theodora", "thea": "theodora", "theo": "theodora theodore",
-    "liz": "elizabeth", "lizzie": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "eliza": "elizabeth", "lisa": "elizabeth", "libby": "elizabeth", "ben": "benjamin", "benny": "benjamin", "benji": "benjamin", "gabi": "gabriela", "gaby": "gabriela", "gabby": "gabriela",
-    "chico": "francisco", "paco": "francisco", "fran": "francisco", "xico": "francisco", "kiko": "francisco", "meg": "margaret", "maggie": "margaret", "peggy": "margaret", "madge": "margaret", "greta": "margaret", "rita": "margaret", "daisy": "margaret",
-    "charlie": "charlotte charles", "lottie": "charlotte", "lotte": "charlotte", "lena": "helena", "leni": "helena", "nell": "helena eleanor", "tonio": "antonio", "toninho": "antonio", "tony": "antonio anthony", "toni": "antonio", "tonho": "antonio", "vince": "vincent", "vinnie": "vincent",
-    "quin": "quentin", "tom": "tomas thomas", "tommy": "tomas thomas", "tomasek": "tomas", "pasha": "pavel", "pavlik": "pavel", "dima": "dmitri", "mitya": "dmitri", "jo": "joao joseph", "joaozinho": "joao", "ju": "julia", "juju": "julia", "lu": "lucia luiza", "luci": "lucia",
-    "carlinha": "carla", "xenya": "xenia", "hugh": "hugo", "ossie": "oskar", "oz": "oskar", "inga": "ingrid", "inge": "ingrid", "nini": "ines", "nessa": "ines", "minnie": "wilma", "billie": "wilma", "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john", "joe": "joseph", "joey": "joseph",
-    "dan": "daniel", "danny": "daniel", "dave": "david", "davy": "david", "steve": "steven stephen", "chris": "christopher christian christine", "matt": "matthew", "pat": "patrick patricia", "jen": "jennifer", "jenny": "jennifer", "sam": "samuel samantha", "tim": "timothy", "andy": "andrew", "greg": "gregory", "ron": "ronald", "don": "donald", "ken": "kenneth", "jeff": "jeffrey", "larry": "lawrence", "hank": "henry", "harry": "henry harold", "bess": "elizabeth", "molly": "mary", "polly": "mary", "nan": "anne", "annie": "anne",
-}
-NICKNAMES = {k: set(v.split()) for k, v in NICKNAMES.items()}
+#: How much more often a word must occur for another that several people bear to be a misspelling of it.
+RATIO = 8
+#: Publications that must show a nickname.
+SHOWN = 2
+#: Given names of which any may be an initial in a shorter form; of those after them either all or none.
+FREE = 4
 
 
 def fold(s: str) -> str:
@@ -116,48 +112,41 @@ def read(name: str) -> tuple[str, list[str], list[str]]:
 
 def _initials(s: str, beside: str) -> list[str]:
     """Initials written together in capitals, as KO or J-L; beside a name all in capitals, IVO and BEN are names."""
-    if beside.isupper() and (len(s) > 2 or fold(s) in NICKNAMES) and "-" not in s:
+    if beside.isupper() and len(s) > 2 and "-" not in s:
         return []
-    if re.fullmatch(r"[^\W\d_](?:-[^\W\d_])+", s) and s.isupper():
-        return [fold(s)]
-    return list(fold(s)) if re.fullmatch(r"[^\W\d_]{1,3}", s) and s.isupper() else []
+    if s.isupper() and re.fullmatch(r"(?:[^\W\d_](?:-[^\W\d_])*){1,3}", s):
+        return re.findall(r"[^\W\d_](?:-[^\W\d_])*", fold(s))
+    return []
 
 
 def _initial(t: str) -> bool:
     return len(t.replace("-", "")) <= (2 if "-" in t else 1)
 
 
-def _given(a: str, b: str, common: set[str]) -> int | None:
-    """The cost of taking two given names for one, None if they can't be."""
-    if a == b:
-        return 0
-    if _initial(a) or _initial(b):
-        p, q = a.split("-"), b.split("-")
-        return 1 if all(x[:1] == y[:1] for x, y in zip(p, q)) and (len(p) == len(q) or min(len(p), len(q)) == 1) else None
-    if b in NICKNAMES.get(a, ()) or a in NICKNAMES.get(b, ()):
-        return 1
-    if len(a) > 2 and len(b) > 2 and edit1(a, b) and not (a in common and b in common):
-        return 3
-    for x, y in ((a, b), (b, a)):  # a misspelt nickname's or shortened name's full form: one begins the other
-        if len(x) >= 3 and y.startswith(x) and x not in common:
-            return 2
-    return None
-
-
-def same_person(a: list[str], b: list[str], families_equal: bool, common: set[str]) -> int | None:
-    """The cost of taking two people of (nearly) one family name for one."""
-    if not families_equal and (not a or not b or _initial(a[0]) or _initial(b[0])):
-        return None
-    cost, typos = 0, 0 if families_equal else 1
-    for x, y in zip(a, b):
-        c = _given(x, y, common)
-        if c is None:
-            return None
-        typos += c == 3
-        cost += c
-    if typos > 1:
-        return None
-    return cost + abs(len(a) - len(b)) + (0 if families_equal else 3)
+def _short(word: str) -> list[str]:
+    """The initials that a given name can be shortened to."""
+    if _initial(word):
+        return [word[0]] if "-" in word else []
+    parts = word.split("-")
+    return [word[0]] if len(parts) == 1 else ["-".join(p[0] for p in parts if p), word[0]]
+
+
+def shorter(words: list[str]) -> dict[str, int]:
+    """What a person's given names can be written as, with the cost: one for each initial and each name left out at the end."""
+    out: dict[str, int] = {}
+    free = [[(w, 0), *((i, 1) for i in _short(w))] for w in words[:FREE]]
+    for n in range(1, min(FREE, len(words)) + 1):
+        for some in product(*free[:n]):
+            key, cost = " ".join(w for w, _ in some), sum(c for _, c in some) + len(words) - n
+            out[key] = min(cost, out.get(key, cost))
+    for n in range(FREE + 1, len(words) + 1):
+        rest = words[FREE:n]
+        tails = [(rest, 0), ([(_short(w) or [w])[0] for w in rest], sum(bool(_short(w)) for w in rest))]
+        for some in product(*free):
+            for tail, c in tails:
+                key, cost = " ".join([*(w for w, _ in some), *tail]), sum(x for _, x in some) + c + len(words) - n
+                out[key] = min(cost, out.get(key, cost))
+    return out
 
 
 def _word(a: str, b: str) -> int | None:
@@ -171,7 +160,7 @@ def _word(a: str, b: str) -> int | None:
     return 3 if min(len(a), len(b)) > 4 and not a.endswith(".") and not b.endswith(".") and edit1(a, b) else None
 
 
-def same_organisation(a: list[str], b: list[str]) -> int | None:
+def same_organisation(a: list[str], b: list[str], radius: int = 1) -> int | None:
     """The cost of taking two organisations for one: their words match one to one, in any order, at most one of them misspelt."""
     if len(a) != len(b):
         return None
@@ -183,14 +172,14 @@ def same_organisation(a: list[str], b: list[str]) -> int | None:
         cost += best[0]
         typos += best[0] == 3
         left.pop(best[1])
-    return cost if typos <= 1 else None
+    return cost if typos <= radius else None
 
 
 def says(kind: str, words: list[str], common: set[str]) -> float:
-    """How much a form says: full names more than initials, nicknames and unknown words."""
+    """How much a form says: known names more than unknown ones, those more than initials."""
     if kind == "org":
         return float(sum(1 if w.endswith(".") else 2 for w in words))
-    return sum(1.0 if _initial(w) else 1.5 if w in NICKNAMES else 2.0 if w in common else 1.6 for w in words)
+    return sum(1.0 if _initial(w) else 2.0 if w in common else 1.6 for w in words)
 
 
 def spellings(entries: DataFrame, fields: str = "fields") -> DataFrame:
@@ -204,29 +193,81 @@ def spellings(entries: DataFrame, fields: str = "fields") -> DataFrame:
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for block, initial, family in b.itertuples(index=False, name=None):
-            s = "".join(sorted(family))
-            rows += [(block, x + "|" + initial) for x in {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}]
-        yield pd.DataFrame(rows, columns=["block", "cell"])
+        for role, word in b[["role", "word"]].itertuples(index=False, name=None):
+            s = "".join(sorted(word))
+            rows += [(role, word, role + x) for x in {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}]
+        yield pd.DataFrame(rows, columns=["role", "word", "cell"])
 
 
-def near_families(families: DataFrame) -> DataFrame:
-    """(a, b): blocks whose families are at distance 1, each pair once. families has block, initial, family."""
-    cells = families.mapInPandas(_cells, "block long, cell string").select("block", F.xxhash64("cell").alias("cell"))
-    met = cells.join(cells.select("cell", F.col("block").alias("other")), "cell").where("block < other").select("block", "other").distinct()
-    f = families.select("block", "family")
-    met = met.join(f, "block").join(f.select(F.col("block").alias("other"), F.col("family").alias("family_b")), "other")
+def near_words(words: DataFrame) -> DataFrame:
+    """(role, a, b), a < b: distinct words of one role at distance 1. words has role, word, each pair once."""
+    cells = words.select("role", "word").mapInPandas(_cells, "role string, word string, cell string").select("role", F.col("word").alias("a"), F.xxhash64("cell").alias("cell"))
+    met = cells.join(cells.select("cell", F.col("role").alias("_r"), F.col("a").alias("b")), "cell").where("a < b and role = _r").select("role", "a", "b").distinct()
 
     def radius(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [x != y and len(x) > 3 and edit1(x, y) for x, y in zip(b["family"], b["family_b"])]
-            yield b.loc[keep, ["block", "other"]].rename(columns={"block": "a", "other": "b"})
+            yield b.loc[[edit1(x, y) for x, y in zip(b["a"], b["b"])]]
+
+    return met.mapInPandas(radius, "role string, a string, b string")
+
 
-    return met.mapInPandas(radius, "a long, b long")
+def nicknames(authors: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """(word, meant): given names that stand for another. authors: publication, place, family, word, g (families that the word occurs with), of records."""
+    full = authors.where("length(word) > 1").select("publication", "place", "family", "word", "g").distinct()
+    best = full.groupBy("publication", "place", "family").agg(F.max(F.struct("g", "word")).alias("m"), F.count_distinct("word").alias("k")).where("k > 1")
+    pairs = full.join(best, ["publication", "place", "family"]).where("word <> m.word").select("publication", "word", F.col("m.word").alias("meant"))
+    return pairs.groupBy("word", "meant").agg(F.count_distinct("publication").alias("n")).where(F.col("n") >= shown).select("word", "meant")
 
 
-def entities(entries: DataFrame, fields: str = "fields") -> DataFrame:
-    """(name, n, entity) of every spelling."""
+ASKED = "form_id long, says double, n long, kind string, words array<string>, side string, cost int, key string"
+
+
+def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each form announces (side 'key') and asks for (side 'ask')."""
+    for b in batches:
+        rows = []
+        for form, n, kind, family, words, said, lexicon in b.itertuples(index=False, name=None):
+            words, known = list(words), {(x["role"], x["word"]): x for x in (lexicon if lexicon is not None else ())}
+            near = lambda role, w: [] if (role, w) not in known else list(known[role, w]["near"])
+            own = (form, said, n, kind, words)
+            if kind == "org":
+                count = lambda w: known["org", w]["g"] if ("org", w) in known else 0
+                pattern = "".join(sorted(w[0] for w in words))
+
+                def keys(ws: list[str]) -> list[str]:
+                    whole = sorted((w for w in ws if not w.endswith(".")), key=lambda w: (count(w), w))
+                    return [f"{pattern}|{w}" for w in whole[:2]] or [f"{pattern}|"]
+
+                rows += [(*own, "key", 0, k) for k in keys(words)] + [(*own, "ask", 0, k) for k in keys(words)]
+                for k, w in enumerate(words):
+                    rows += [(*own, "ask", 3, x) for v in near("org", w) for x in keys([*words[:k], v, *words[k + 1 :]])]
+                continue
+            if not words:
+                rows += [(*own, side, 0, f"{family}||") for side in ("key", "ask")] + [(*own, "ask", 3, f"{f}||") for f in near("family", family)]
+                continue
+            rows += [(*own, "key", c, f"{family}|{k}") for k, c in shorter(words).items()]
+            asked = {f"{family}|{' '.join(words)}": 0}
+
+            def ask(f: str, ws: list[str], cost: int) -> None:
+                k = f"{f}|{' '.join(ws)}"
+                asked[k] = min(cost, asked.get(k, cost))
+
+            meant = [[] if ("given", w) not in known else list(known["given", w]["meant"]) for w in words]
+            variants = [(words, 0)] + [([*words[:k], v, *words[k + 1 :]], 1) for k in range(len(words)) for v in meant[k]]
+            for ws, c in variants:
+                ask(family, ws, c)
+                if not all(map(_initial, words)):  # initials are too little to tell a misspelt family by
+                    for f in near("family", family):
+                        ask(f, ws, c + 3)
+            for k, w in enumerate(words):
+                for v in near("given", w):
+                    ask(family, [*words[:k], v, *words[k + 1 :]], 3)
+            rows += [(*own, "ask", c, k) for k, c in asked.items()]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ASKED.split(", ")]).astype({"form_id": "int64", "n": "int64", "cost": "int32"})
+
+
+def _forms(entries: DataFrame, fields: str) -> tuple[DataFrame, DataFrame]:
+    """(name, n, kind, family, words) of each spelling, (word, g): given names and how many families have them."""
     names = cut(spellings(entries, fields))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,75 +275,94 @@ def entities(entries: DataFrame, fields: str = "fields") -> DataFrame:
             r = [read(x) for x in b["name"]]
             yield b.assign(kind=[x[0] for x in r], family=[" ".join(w for w in x[1] if w not in PARTICLES) or " ".join(x[1]) for x in r], words=[x[2] for x in r])
 
-    read_ = cut(names.mapInPandas(first, "name string, n long, kind string, family string, words array<string>"))
-    read_ = read_.withColumn("w1", F.get("words", F.lit(0))).withColumn("w2", F.get("words", F.size("words") - 1))
-    givens = read_.where("kind = 'person'").select("family", F.explode("words").alias("w")).where("length(w) > 1").groupBy("w").agg(F.count_distinct("family").alias("g"))
-    org_words = read_.where("kind = 'org'").select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("g"))
-    vocabulary = cut(givens.withColumn("org", F.lit(False)).unionByName(org_words.withColumn("org", F.lit(True))))
-    n_orgs = read_.where("kind = 'org'").count()
-    told = read_.withColumn("org", F.col("kind") == "org")
+    forms = cut(names.mapInPandas(first, "name string, n long, kind string, family string, words array<string>"))
+    givens = cut(forms.where("kind = 'person'").select("family", F.explode("words").alias("word")).where("length(word) > 1").groupBy("word").agg(F.count_distinct("family").alias("g")))
+    ends = forms.where("kind = 'open'").select("name", F.get("words", F.lit(0)).alias("w1"), F.get("words", F.size("words") - 1).alias("w2"))
     for w, g in (("w1", "g1"), ("w2", "g2")):
-        told = told.join(vocabulary.select(F.col("w").alias(w), "org", F.col("g").alias(g)), [w, "org"], "left")
-    common_words = F.transform("words", lambda w: w)  # kept apart from the vocabulary: which of a form's words are common is joined below
-    each = told.select("name", F.posexplode(common_words).alias("k", "w"), "org").join(vocabulary.where(f"g >= {COMMON} and not org").select("w", "org"), ["w", "org"]).groupBy("name").agg(F.collect_set("w").alias("common"))
-    told = told.join(each, "name", "left").select("name", "n", "kind", "family", "words", "g1", "g2", "common")
-
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = ends.join(givens.select(F.col("word").alias(w), F.col("g").alias(g)), w, "left")
+    told = forms.join(ends.select("name", (F.coalesce("g1", F.lit(0)) >= F.coalesce("g2", F.lit(0))).alias("given_first")), "name", "left")
+    n = F.size("words")
+    opened = F.col("kind") == "open"
+    family = F.when(opened & F.col("given_first"), F.get("words", n - 1)).when(opened, F.get("words", F.lit(0))).otherwise(F.col("family"))
+    words = F.when(opened & F.col("given_first"), F.slice("words", 1, F.greatest(n - 1, F.lit(0)))).when(opened, F.slice("words", 2, F.greatest(n - 1, F.lit(0)))).when(F.col("kind") == "org", F.sort_array("words")).otherwise(F.col("words"))
+    return told.select("name", "n", F.when(opened, "person").otherwise(F.col("kind")).alias("kind"), F.coalesce(family, F.lit("")).alias("family"), words.alias("words")), givens
+
+
+def entities(entries: DataFrame, fields: str = "fields", radius: int = 1, shown: int = SHOWN) -> DataFrame:
+    """(name, n, entity) of every spelling. radius: edits by which names of one person may differ, 0 or 1; shown: publications that must show a nickname."""
+    if radius not in (0, 1):
+        raise ValueError("radius must be 0 or 1: of two edits in a name that is all there is to tell people apart by")
+    told, givens = _forms(entries, fields)
+    spelt = cut(told.withColumn("form_id", F.xxhash64("kind", "family", F.array_join("words", " "))))
+    forms = spelt.groupBy("form_id").agg(F.sum("n").alias("n"), F.first("kind").alias("kind"), F.first("family").alias("family"), F.first("words").alias("words"))
+
+    # the words of all forms: how common they are, what is near, what they mean
+    parts = F.when(F.col("kind") == "org", F.transform("words", lambda w: F.struct(F.lit("org").alias("role"), w.alias("word")))).otherwise(
+        F.concat(F.array(F.struct(F.lit("family").alias("role"), F.col("family").alias("word"))), F.transform("words", lambda w: F.struct(F.lit("given").alias("role"), w.alias("word"))))
+    )
+    exploded = forms.select("form_id", "n", "family", F.get("words", F.lit(0)).alias("w1"), F.explode(F.array_distinct(parts)).alias("p")).select("form_id", "n", "family", "w1", "p.role", "p.word")
+    common = givens.where(F.col("g") >= COMMON)
+    bearers = exploded.where("role = 'family'").join(common.select(F.col("word").alias("w1")), "w1", "left_semi").groupBy("word").agg(F.count_distinct("w1").alias("bearers"))
+    lexicon = exploded.where("word <> ''").groupBy("role", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"))
+    lexicon = lexicon.join(givens.withColumn("role", F.lit("given")), ["role", "word"], "left").join(bearers.withColumn("role", F.lit("family")), ["role", "word"], "left")
+    # how sure it is that a word is itself and no misspelling: common given names, families of several people
+    settled = F.when(F.col("role") == "given", F.coalesce("g", F.lit(0)) >= COMMON).when(F.col("role") == "family", F.coalesce("bearers", F.lit(0)) > 1).otherwise(F.lit(False))
+    lexicon = cut(lexicon.select("role", "word", "n", F.coalesce("g", "forms").alias("g"), settled.alias("settled")))
+    spell = lexicon.where("length(word) > 1 and word not like '%.'") if radius else lexicon.limit(0)
+    near = near_words(spell)
+    near = near.unionByName(near.select("role", F.col("b").alias("a"), F.col("a").alias("b")))
+    # a settled word is no misspelling, unless another is so much more frequent: misspellings of common names recur
+    a, b = (lexicon.select("role", F.col("word").alias(x), F.col("n").alias(f"n_{x}"), F.col("settled").alias(f"settled_{x}")) for x in "ab")
+    near = near.join(a, ["role", "a"]).join(b, ["role", "b"]).where(~F.col("settled_a") | (F.col("n_b") >= RATIO * F.col("n_a"))).select("role", "a", "b")
+    near = near.groupBy("role", F.col("a").alias("word")).agg(F.collect_list("b").alias("near"))
+
+    title = F.filter(F.map_entries(fields), lambda x: F.lower(F.trim(x["key"])).isin("title", "year") & x["value"].isNotNull())
+    folded = F.transform(title, lambda x: F.struct(F.lower(F.trim(x["key"])).alias("k"), F.lower(F.regexp_replace(x["value"], r"[^\p{L}\p{N}]+", "")).alias("v")))
+    hits = F.filter(F.map_entries(fields), lambda x: (F.lower(F.trim(x["key"])) == "author") & x["value"].isNotNull())
+    listed = entries.select(F.xxhash64(F.to_json(F.array_sort(folded))).alias("publication"), F.size(folded).alias("_t"), F.posexplode(F.flatten(F.transform(hits, lambda x: F.split(x["value"], SEPARATOR)))).alias("place", "name")).where("_t > 1")
+    listed = listed.select("publication", "place", F.regexp_replace("name", r"(?U)^\s+|\s+$", "").alias("name")).distinct()
+    people = spelt.where("kind = 'person' and size(words) > 0").select("name", "family", F.get("words", F.lit(0)).alias("word")).where("length(word) > 1")
+    taught = nicknames(listed.join(people, "name").join(givens, "word"), shown)
+    # a nickname isn't a misspelling of what it means; that is for the metric
+    taught = cut(taught).mapInPandas(lambda it: (b.loc[[not edit1(x, y) for x, y in zip(b["word"], b["meant"])]] for b in it), "word string, meant string")
+    taught = taught.groupBy("word").agg(F.collect_list("meant").alias("meant")).withColumn("role", F.lit("given"))
+
+    none = F.array().cast("array<string>")
+    lexicon = lexicon.join(near, ["role", "word"], "left").join(taught, ["role", "word"], "left")
+    of_form = exploded.select("form_id", "role", "word").join(lexicon, ["role", "word"]).groupBy("form_id").agg(F.collect_list(F.struct("role", "word", "g", "settled", F.coalesce("near", none).alias("near"), F.coalesce("meant", none).alias("meant"))).alias("lexicon"))
+
+    def said(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for name, n, kind, family, words, g1, g2, common in b.itertuples(index=False, name=None):
-                words = [] if words is None else list(words)
-                common = set() if common is None else set(common)
-                g1, g2 = (0 if g is None or g != g else g for g in (g1, g2))
-                if kind == "open":
-                    kind = "person"
-                    family, words = (words[-1], words[:-1]) if g1 >= g2 else (words[0], words[1:])
-                if kind == "org":
-                    ends = [(g, w) for g, w in ((g1, words[0]), (g2, words[-1])) if not w.endswith(".")] if words else []
-                    rare = [w for g, w in ends if g <= max(5, n_orgs / 50)] or [min(ends)[1]] if ends else words[:1]
-                    # a longer list of words first, so that forms don't depend on their order
-                    form = "org|" + " ".join(sorted(words))
-                    keys, initials = sorted(set(rare)), ["{"]
-                else:
-                    form = f"person|{family}|{' '.join(words)}"
-                    keys, initials = [family], sorted({words[0][0], *(x[0] for x in NICKNAMES.get(words[0], ()))}) if words else [""]
-                rows.append((name, n, kind, form, keys, initials, words, says(kind, words, common), sorted(common)))
-            yield pd.DataFrame(rows, columns=["name", "n", "kind", "form", "keys", "initials", "words", "says", "common"])
-
-    spelt = cut(told.mapInPandas(second, "name string, n long, kind string, form string, keys array<string>, initials array<string>, words array<string>, says double, common array<string>"))
-    spelt = spelt.withColumn("form_id", F.xxhash64("form"))
-    forms = spelt.groupBy("form_id").agg(F.sum("n").alias("n"), F.first("kind").alias("kind"), F.first("keys").alias("keys"), F.first("initials").alias("initials"), F.first("words").alias("words"), F.first("says").alias("says"), F.first("common").alias("common"))
-    blocks = forms.select("form_id", "n", "kind", "words", "says", "common", F.explode("initials").alias("initial"), "keys").withColumn("family", F.explode("keys")).withColumn("block", F.xxhash64("kind", "initial", "family"))
-    blocks = cut(blocks)
-    families = blocks.groupBy("block").agg(F.first("initial").alias("initial"), F.first("family").alias("family"))
-    # a family that several people bear is no misspelling
-    bearers = blocks.where("kind = 'person'").select("family", F.get("words", F.lit(0)).alias("w"), F.array_contains("common", F.get("words", F.lit(0))).alias("known")).where("known").groupBy("family").agg(F.count_distinct("w").alias("bearers"))
-    near = near_families(families)
-    one = blocks.join(bearers, "family", "left").select("block", "form_id", "n", "kind", "words", "says", "common", "family", F.coalesce("bearers", F.lit(0)).alias("bearers"))
-    other = one.select(*[F.col(c).alias(f"{c}_b") for c in one.columns])
-    close = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(families.select(F.col("block").alias("a"), F.col("block").alias("b")))
-    pairs = one.join(close, one.block == close.a).join(other, F.col("b") == F.col("block_b"))
-    # the parent says more, or as much and is written more often
-    pairs = pairs.where("form_id <> form_id_b and kind = kind_b and struct(says_b, n_b, form_id_b) > struct(says, n, form_id)")
-    pairs = pairs.select("form_id", "form_id_b", "n_b", "kind", "words", "words_b", "common", "common_b", "family", "family_b", "bearers").dropDuplicates(["form_id", "form_id_b"])
+            known = [{x["word"] for x in (le if le is not None else ()) if x["role"] == "given" and x["settled"]} for le in b["lexicon"]]
+            yield b.assign(says=[says(k, list(w), c) for k, w, c in zip(b["kind"], b["words"], known)])
+
+    table = forms.join(of_form, "form_id", "left")
+    lex_type = table.schema["lexicon"].dataType.simpleString()
+    table = table.mapInPandas(said, f"form_id long, n long, kind string, family string, words array<string>, lexicon {lex_type}, says double").select("form_id", "n", "kind", "family", "words", "says", "lexicon")
+    rows = cut(table.mapInPandas(_ask, ASKED).withColumn("key", F.xxhash64("kind", "key")))
+    asks, keys = rows.where("side = 'ask'"), rows.where("side = 'key'")
+
+    # people: of each key the form of that very name, and the cheapest and most frequent one that is longer
+    offer = F.struct("cost", (-F.col("n")).alias("n"), "form_id", "says")
+    best = keys.where("kind = 'person'").groupBy("key").agg(F.min(F.when(F.col("cost") == 0, offer)).alias("same"), F.min(F.when(F.col("cost") > 0, offer)).alias("longer"))
+    met = asks.where("kind = 'person'").join(best, "key").select("form_id", "says", "n", "cost", F.explode(F.array("same", "longer")).alias("o")).where("o is not null and o.form_id <> form_id")
+    met = met.where(F.struct(F.col("o.says"), (-F.col("o.n")).alias("n"), F.col("o.form_id").alias("f")) > F.struct("says", F.col("n"), F.col("form_id").alias("f")))
+    links = met.select(F.col("form_id").alias("child"), F.col("o.form_id").alias("parent"), (F.col("cost") + F.col("o.cost")).alias("cost"), (-F.col("o.n")).alias("n"))
+
+    # organisations with the same initials that share one of their two rarest words are compared word for word
+    org = asks.where("kind = 'org'").join(keys.where("kind = 'org'").select("key", F.col("form_id").alias("parent"), F.col("says").alias("says_b"), F.col("n").alias("n_b"), F.col("words").alias("words_b")), "key")
+    org = org.where(F.struct(F.col("says_b").alias("s"), F.col("n_b").alias("n"), F.col("parent").alias("f")) > F.struct(F.col("says").alias("s"), "n", F.col("form_id").alias("f")))
+    org = org.select(F.col("form_id").alias("child"), "parent", "words", "words_b", "n_b").dropDuplicates(["child", "parent"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for child, parent, n, kind, wa, wb, ca, cb, fa, fb, bearers in b.itertuples(index=False, name=None):
-                if kind == "org":
-                    cost = same_organisation(list(wa), list(wb))
-                elif fa != fb and bearers > 1:
-                    cost = None
-                else:
-                    cost = same_person(list(wa), list(wb), fa == fb, set(ca) | set(cb))
-                if cost is not None:
-                    rows.append((child, parent, cost, n))
-            yield pd.DataFrame(rows, columns=["child", "parent", "cost", "n"]).astype({"child": "int64", "parent": "int64", "cost": "int64", "n": "int64"})
-
-    linked = pairs.mapInPandas(compare, "child long, parent long, cost long, n long")
-    best = linked.groupBy("child").agg(F.min(F.struct("cost", (-F.col("n")).alias("n"), "parent")).alias("b")).select(F.col("child").alias("a"), F.col("b.parent").alias("b"))
-    labels = components(best).withColumnRenamed("node", "form_id")
+            cost = [same_organisation(list(x), list(y), radius) for x, y in zip(b["words"], b["words_b"])]
+            keep = [c is not None for c in cost]
+            yield pd.DataFrame({"child": b["child"][keep], "parent": b["parent"][keep], "cost": [c for c in cost if c is not None], "n": b["n_b"][keep]}).astype("int64")
+
+    links = links.select("child", "parent", F.col("cost").cast("long").alias("cost"), "n").unionByName(org.mapInPandas(compare, "child long, parent long, cost long, n long"))
+    tree = links.groupBy("child").agg(F.min(F.struct("cost", (-F.col("n")).alias("n"), "parent")).alias("b")).select(F.col("child").alias("a"), F.col("b.parent").alias("b"))
+    labels = components(tree).withColumnRenamed("node", "form_id")
     return spelt.select("name", "n", "form_id").join(labels, "form_id", "left").select("name", "n", F.coalesce("label", "form_id").alias("entity"))
 
 

@@ -44,11 +44,11 @@ def p2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.repair(table(spark, sf_dir, "png2md"))[0]
+    return scans.repair(table(spark, sf_dir, "png2md", spread=True))[0]
 
 
 def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.paragraphs(table(spark, sf_dir, "png2md"))
+    return scans.paragraphs(table(spark, sf_dir, "png2md", spread=True))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

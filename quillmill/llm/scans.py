@@ -31,12 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.perceptron import Perceptron
-from quillmill.session import cut, spread
+from quillmill.session import cut
 
 #: Bounds of what is read on the driver: frequent words, and the samples that the perceptrons are fitted to.
 FREQUENT, RARE_SAMPLE, LINE_SAMPLE, HYPHEN_SAMPLE = 50_000, 4_000, 12_000, 4_000
 #: How much more frequent the word meant must be than the word read.
 RATIO = 8.0
+#: The same for an edit that isn't borne out by other words.
+ANY_RATIO = 40.0
 #: Rare words that must show an edit before it puts a frequent word right.
 BORNE = 2
 
@@ -167,6 +169,11 @@ class Editor:
     def __init__(self, model: Perceptron, ops: dict[str, list[str]], borne: set[tuple[str, str]]):
         self.model, self.ops, self.borne = model, ops, borne
 
+    def is_borne(self, w: str, i: int, op: str) -> bool:
+        """Whether other words show the edit, or what is read is marks: those don't stand within printed words by nature."""
+        edit = edit_of(w, i, op)
+        return edit in self.borne or not any(map(str.isalnum, edit[0]))
+
     def proposals(self, w: str, width: int = 4) -> dict[str, bool]:
         """Words the editor would make of w, and whether their edits are borne out: each single edit among the best few of its place, and all best edits together."""
         out: dict[str, bool] = {}
@@ -178,27 +185,31 @@ class Editor:
             for _, o in ranked[: width + 1]:
                 if o != "keep":
                     x = applied(w, i, o)
-                    out[x] = out.get(x, False) or edit_of(w, i, o) in self.borne
+                    out[x] = out.get(x, False) or self.is_borne(w, i, o)
             if ranked and ranked[0][1] != "keep" and i + shift < len(whole):
                 before = len(whole)
                 whole = applied(whole, i + shift, ranked[0][1])
                 shift += len(whole) - before
-                all_borne = all_borne and edit_of(w, i, ranked[0][1]) in self.borne
+                all_borne = all_borne and self.is_borne(w, i, ranked[0][1])
         out[whole] = out.get(whole, False) or all_borne
         out.pop(w, None)
         return {x: b for x, b in out.items() if x}
 
-    def joins(self, a: str, mark: str, b: str) -> bool:
-        f = join_features(a, mark, b)
+    def joins(self, a: str, mark: str, b: str, counts: tuple[int, int, int] = (0, 0, 0)) -> bool:
+        f = join_features(a, mark, b, counts)
         return self.model.score(f, "join") >= self.model.score(f, "keep")
 
 
-def join_features(a: str, mark: str, b: str) -> list[str]:
-    return ["J", "Jm" + mark, "Ja" + a[-3:], "Jb" + b[:3], "JA" + a, "JB" + b, f"Jl{min(len(a), 9)}", f"Jr{min(len(b), 9)}"]
+def join_features(a: str, mark: str, b: str, counts: tuple[int, int, int] = (0, 0, 0)) -> list[str]:
+    """What the editor sees of a line's end; counts: how often the word occurs joined, with the hyphen, and what stands before it with another."""
+    joined, hyphened, before = counts
+    seen = "joined" if joined > hyphened else "hyphened" if hyphened > joined else "both" if joined else "before" if before else "none"
+    case = "figures" if a[-1:].isdigit() or b[:1].isdigit() else "upper" if b[:1].isupper() and not a.isupper() else "lower" if b else "lost"
+    return ["J", "Jm" + mark, "Ja" + a[-3:].lower(), "Jb" + b[:3].lower(), "JB" + b.lower(), f"Jl{min(len(a), 9)}", f"Jr{min(len(b), 9)}", "Jc" + case, "Jn" + seen, f"Jn{seen}|{mark}", f"Jn{seen}|{case}|{mark}"]
 
 
-def editor_model(rare: list[tuple[str, int]], frequent: dict[str, int], ends: list[tuple[str, str, str, bool]]) -> Editor:
-    """Pairs each rare word with the most frequent word one edit away, and fits the editor to the edits; ends are line ends with their label."""
+def editor_model(rare: list[tuple[str, int]], frequent: dict[str, int], ends: list[tuple]) -> Editor:
+    """Pairs each rare word with the most frequent word one edit away, and fits the editor to the edits; ends are (before, mark, after, label) of line ends, and counts if there are."""
     by_hole: dict[str, list[str]] = defaultdict(list)  # a frequent word without any one or two neighbouring letters
     for v in frequent:
         for i in range(len(v)):
@@ -227,7 +238,12 @@ def editor_model(rare: list[tuple[str, int]], frequent: dict[str, int], ends: li
                 label = op if j == i else "keep"
                 if label in allowed:
                     rows.append((_around(w, j), label, allowed))
-    rows += [(join_features(a, m, b), "join" if joined else "keep", ["join", "keep"]) for a, m, b, joined in ends]
+    for a, m, b, joined, *counts in ends:
+        # with what the counts tell and without, as for words that nobody has seen whole
+        for c in {(0, 0, 0), *((0, 0, c[2]) for c in counts), *counts}:
+            rows.append((join_features(a, m, b, c), "join" if joined else "keep", ["join", "keep"]))
+        for c in {(0, 0, c[2]) for c in counts}:  # and as if the rest were lost
+            rows.append((join_features(a, m, "", c), "join" if joined else "keep", ["join", "keep"]))
     return Editor(Perceptron().train(rows), known, {e for e, k in seen.items() if k >= BORNE})
 
 
@@ -244,7 +260,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 def _page_rows(pages: DataFrame) -> DataFrame:
     p = _keyed(pages).select("page_id", "scan", "page_no", F.coalesce("content", F.lit("")).alias("content"))
-    return spread(p.where(_readable()))
+    return p.where(_readable())
 
 
 def _zone_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,65 +362,63 @@ def _text_lines(content: str, away: set[int]) -> list[tuple[int, str]]:
 
 def _hyphened(line: str) -> tuple[str, str] | None:
     """(part of a word, mark) at the end of a line."""
-    m = PARTED.search(line)
+    m = PARTED.search(line) if line[-1:] in HYPHENS else None
     return (m.group(1).lstrip(EDGE), m.group(2)) if m else None
 
 
-def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of whole words within a batch; parts of words at line ends and after them are left out."""
-    for b in batches:
-        seen: Counter = Counter()
-        for content, away in b[["content", "away"]].itertuples(index=False, name=None):
-            cut_before = False
-            for _, x in _text_lines(content, set(away if away is not None else ())):
-                words = x.split()
-                end = _hyphened(x)
-                for k, w in enumerate(words):
-                    t = w.strip(EDGE).lower()
-                    if t and not (k == 0 and cut_before) and not (end and k == len(words) - 1):
-                        seen[t] += 1
-                        if "-" in t[1:-1]:
-                            seen[t.partition("-")[0] + "-"] += 1
-                cut_before = bool(end)
-        yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
+#: White space, and the hyphened part of a word at a line's end, for the JVM.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+END = r"(?U)[\w@~|!][\-‐¬\xad]$"
 
 
-CANDIDATES = "page_id long, line_no int, kind string, a string, mark string, b string, next_line int, scan string, page_no int"
+def _lines() -> Column:
+    """The text lines of a page without what is away: array of (line_no, line), blank ones left out, no white space at the ends."""
+    away = F.coalesce("away", F.array().cast("array<int>"))
+    all_ = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("n"), F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("x")))
+    return F.filter(all_, lambda x: (x["x"] != "") & ~F.array_contains(away, x["n"]))
 
 
-def _candidates(sure: set[str] | None = None):
-    """Line ends with a hyphen and first words of a page's text; given the words that are surely right, the other words instead."""
+def _word_counts(p: DataFrame) -> DataFrame:
+    """(word, n) of whole words, and of what stands before a word's hyphen; parts of words at line ends and after them are left out."""
+    text = F.array_join(F.transform(_lines(), lambda x: x["x"]), "\n")
+    whole = F.regexp_replace(text, r"(?U)\S*[\w@~|!][\-‐¬\xad](?:\n\s*\S+|$)", " ")
+    tokens = p.select(F.explode(F.split(whole, SPACE)).alias("t")).select(F.lower(F.btrim("t", F.lit(EDGE))).alias("word")).where("word <> ''")
+    counted = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    part = F.regexp_extract("word", r"(?s)^(.[^-]*-).*.$", 1)
+    inner = counted.where(F.contains(F.expr("substring(word, 2, length(word) - 2)"), F.lit("-"))).select(part.alias("word"), "n")
+    return counted.unionByName(inner).groupBy("word").agg(F.sum("n").alias("n"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page, scan, no, content, away in batch[["page_id", "scan", "page_no", "content", "away"]].itertuples(index=False, name=None):
-                lines = _text_lines(content, set(away if away is not None else ()))
-                prose = [(n, x) for n, x in lines if not FIGURES.fullmatch(x)]
-                after = {n: prose[k + 1] if k + 1 < len(prose) else (None, "") for k, (n, _) in enumerate(prose)}
-                taken = set()
-                if prose and sure is None:
-                    rows.append((page, prose[0][0], "first", (tokens_of(prose[0][1]) or [""])[0], "", "", None, scan, no))
-                for n, x in lines:
-                    words = x.split()
-                    end = _hyphened(x)
-                    for k, w in enumerate(words if sure is not None else ()):
-                        t = w.strip(EDGE)
-                        low = t.lower()
-                        if not t or (end and k == len(words) - 1) or (k == 0 and n in taken):
-                            continue
-                        if low not in sure and not FIGURES.fullmatch(t):
-                            rows.append((page, n, "word0" if k == 0 and prose and n == prose[0][0] else "word", t, "", "", None, scan, no))
-                    if end and n in after:
-                        m, nxt = after[n]
-                        first = (tokens_of(nxt) or [""])[0]
-                        if m is not None:
-                            taken.add(m)
-                        if sure is None:
-                            rows.append((page, n, "end", end[0], end[1], first, m, scan, no))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")]).astype({"next_line": "Int32"})
-
-    return run
+
+def _occurrences(p: DataFrame, sure: DataFrame) -> DataFrame:
+    """(page_id, line_no, kind, a, word) of words that aren't surely right; kind 'word0' for the first of a line."""
+    at = p.select("page_id", F.explode(_lines()).alias("l"))
+    words = F.split("l.x", SPACE)
+    words = F.when(F.col("l.x").rlike(END), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+    t = at.select("page_id", F.col("l.n").alias("line_no"), F.posexplode(words).alias("k", "t")).select("page_id", "line_no", "k", F.btrim("t", F.lit(EDGE)).alias("a"))
+    t = t.where((F.col("a") != "") & ~F.col("a").rlike(r"(?U)^[\d\s.,:/()–-]+$")).withColumn("word", F.lower("a"))
+    t = t.join(F.broadcast(sure), "word", "left_anti")  # at most FREQUENT words
+    return t.select("page_id", "line_no", F.when(F.col("k") == 0, "word0").otherwise("word").alias("kind"), "a", "word")
+
+
+CANDIDATES = "page_id long, line_no int, kind string, a string, mark string, b string, next_line int, scan string, page_no int"
+
+
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Line ends with a hyphen, with the first word of the next line of text, and the first words of each page's text."""
+    for batch in batches:
+        rows = []
+        for page, scan, no, content, away in batch[["page_id", "scan", "page_no", "content", "away"]].itertuples(index=False, name=None):
+            lines = _text_lines(content, set(away if away is not None else ()))
+            ends = [(k, end) for k, (_, x) in enumerate(lines) if (end := _hyphened(x))]
+            first = next(((n, x) for n, x in lines if not FIGURES.fullmatch(x)), None)
+            if first:
+                rows.append((page, first[0], "first", (tokens_of(first[1]) or [""])[0], "", "", None, scan, no))
+            for k, (part, mark) in ends:
+                if FIGURES.fullmatch(lines[k][1]):
+                    continue
+                m, nxt = next(((n, x) for n, x in lines[k + 1 :] if not FIGURES.fullmatch(x)), (None, ""))
+                rows.append((page, lines[k][0], "end", part, mark, (tokens_of(nxt) or [""])[0], m, scan, no))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")]).astype({"next_line": "Int32"})
 
 
 def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -413,12 +427,12 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     away = cut(furniture(p))
     lists = away.groupBy("page_id").agg(F.collect_list("line_no").alias("away"))  # four lines a page at most
     p = p.join(lists, "page_id", "left")
-    words = cut(p.mapInPandas(_word_rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = cut(_word_counts(p))
     total = words.agg(F.sum("n")).first()[0] or 0
     # a word that makes up a hundred-thousandth of the text is no accident
-    usual = max(5.0, total * 1e-5)
+    usual = max(5.0, total * 1e-5)  # only tells which words the editor is fitted to
     frequent = {r.word: r.n for r in words.where(F.col("n") >= usual).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
-    c = cut(p.mapInPandas(_candidates(), CANDIDATES))
+    c = cut(p.mapInPandas(_candidates, CANDIDATES))
 
     first = c.where("kind = 'first'").select("scan", (F.col("page_no") - 1).alias("page_no"), F.col("a").alias("b_next"), F.col("page_id").alias("next_page"), F.col("line_no").alias("line_next"))
     first = first.groupBy("scan", "page_no").agg(F.min_by(F.struct("b_next", "next_page", "line_next"), "next_page").alias("f"))
@@ -430,51 +444,42 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = cut(ends.na.fill(0, ["n_joined", "n_hyphened", "n_before"]))
 
     hyphens = ends.where("(n_joined > 0) <> (n_hyphened > 0) and b <> ''").orderBy(F.xxhash64("page_id", "line_no")).limit(HYPHEN_SAMPLE)
-    hyphens = [(r.a.lower(), r.mark, r.b.lower(), r.n_joined > 0) for r in hyphens.select("a", "mark", "b", "n_joined").collect()]
-    rare = words.where((F.col("n") < usual) & (F.length("word") > 2) & F.col("word").rlike(r"\p{L}")).orderBy(F.xxhash64("word")).limit(RARE_SAMPLE)
+    hyphens = [(r.a, r.mark, r.b, r.n_joined > 0, (r.n_joined, r.n_hyphened, r.n_before)) for r in hyphens.select("a", "mark", "b", "n_joined", "n_hyphened", "n_before").collect()]
+    marked = F.col("word").rlike(r"\p{L}[^\p{L}\p{N}\-‐'’]+\p{L}")  # however often they occur
+    rare = words.where(((F.col("n") < usual) | marked) & (F.length("word") > 2) & F.col("word").rlike(r"\p{L}")).orderBy(F.xxhash64("word")).limit(RARE_SAMPLE)
     editor = editor_model([(r.word, r.n) for r in rare.collect()], frequent, hyphens)
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cut_ = []
-            for a, mark, nxt, nj, nh, nb in b[["a", "mark", "b", "n_joined", "n_hyphened", "n_before"]].itertuples(index=False, name=None):
-                if nj or nh:
-                    cut_.append(nj >= nh)
-                elif nb:
-                    cut_.append(False)
-                else:
-                    cut_.append(mark != "-" or editor.joins(a.lower(), mark, nxt.lower()) or not nxt or nxt[:1].islower())
+            columns = b[["a", "mark", "b", "n_joined", "n_hyphened", "n_before"]].itertuples(index=False, name=None)
+            cut_ = [editor.joins(a, mark, nxt, counts) for a, mark, nxt, *counts in columns]
             yield b[["page_id", "line_no", "a", "b", "b_page", "b_line", "joined", "n_joined"]].assign(is_split=cut_)
 
     parted = cut(ends.mapInPandas(told, "page_id long, line_no int, a string, b string, b_page long, b_line int, joined string, n_joined long, is_split boolean"))
 
     def proposals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, x, borne) for w in b["word"] for x, borne in ({w: False} | editor.proposals(w) if len(w) < 60 else {w: False}).items()]
+            rows = [(w, x, borne) for w in b["word"] for x, borne in ({w: False} | editor.proposals(w)).items()]
             yield pd.DataFrame(rows, columns=["word", "meant", "borne"])
 
-    strange = F.col("word").rlike(r"[\p{L}\d][~|!@;:'\"^`*\\_=<>\[\]{}#%]+[\p{L}\d]|[@~|]|\p{L}!\p{L}") & ~F.col("word").rlike(r"^(?:https?:|www\.)|/|^\S+@\S+\.\S+$|^\[|^\d")
-    mixed = F.col("word").rlike(r"\p{L}{2,}\d|\d\p{L}{2,}") & (F.col("n") < usual)
-    apart = F.regexp_replace("word", r"[^\p{L}\p{N}]", "")
-
     def judged(kinds: DataFrame) -> DataFrame:
-        """(word, fix) of the misread ones; of frequent words only edits borne out are considered."""
+        """(word, fix) of the misread ones: a far more frequent word by an edit that is borne out, or a still more frequent one by any edit."""
         counted = kinds.mapInPandas(proposals, "word string, meant string, borne boolean").join(words.select(F.col("word").alias("meant"), "n"), "meant", "left").na.fill(0, ["n"])
         other = F.when(F.col("meant") != F.col("word"), F.struct("n", "meant"))
         j = counted.groupBy("word").agg(F.max(F.when(F.col("meant") == F.col("word"), F.col("n"))).alias("n"), F.max(other).alias("any"), F.max(F.when(F.col("borne"), other)).alias("sure"))
-        j = j.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("best", F.when(F.col("n") < usual, F.col("any")).otherwise(F.col("sure")))
-        j = j.withColumn("far", F.coalesce("best.n", F.lit(0)) >= F.greatest(RATIO * F.col("n"), F.lit(2.0)))
-        j = j.where((F.col("far") | ((strange | mixed) & (F.length(apart) > 2))) & ((F.length("word") > 2) | F.col("word").rlike(r"[^\p{L}]")))
-        return j.select("word", F.when(F.col("far"), F.col("best.meant")).alias("fix"))
-
-    # words to be judged: those that aren't both frequent and rightly read, and joined ones
-    usually = words.where(F.col("n") >= usual).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    sure = set(frequent) - {r.word for r in judged(usually.select("word").repartition(pages.sparkSession.sparkContext.defaultParallelism)).select("word").collect()}
-    odd = cut(p.mapInPandas(_candidates(sure), CANDIDATES))
-    # a page's first word may be the rest of the last page's last
+        j = j.withColumn("n", F.coalesce("n", F.lit(0)))
+        far = lambda c, ratio: F.coalesce(F.col(f"{c}.n") >= F.greatest(ratio * F.col("n"), F.lit(2.0)), F.lit(False))
+        fix = F.when(far("any", ANY_RATIO), F.col("any.meant")).when(far("sure", RATIO), F.col("sure.meant"))
+        return j.withColumn("fix", fix).where(F.col("fix").isNotNull() & ((F.length("word") > 2) | F.col("word").rlike(r"[^\p{L}]"))).select("word", "fix")
+
+    # the most frequent words that are read rightly go to the workers, so that only the others are joined
+    usually = words.orderBy(F.desc("n"), "word").limit(FREQUENT)
+    right = cut(usually.select("word").join(judged(usually.select("word").repartition(pages.sparkSession.sparkContext.defaultParallelism)).select("word"), "word", "left_anti"))
+    odd = cut(_occurrences(p, right))
+    # a line's first word may be the rest of the last one before
     over = ends.select(F.col("b_page").alias("page_id"), F.col("b_line").alias("line_no")).distinct()
     alone = odd.where("kind = 'word0'").join(over, ["page_id", "line_no"], "left_anti").select(*odd.columns).unionByName(odd.where("kind = 'word'"))
-    odd = alone.select("page_id", "line_no", "a", F.lower("a").alias("word"), F.lit(0).alias("head"), F.lit(None).cast("long").alias("b_page"), F.lit(None).cast("int").alias("b_line"))
+    odd = alone.select("page_id", "line_no", "a", "word", F.lit(0).alias("head"), F.lit(None).cast("long").alias("b_page"), F.lit(None).cast("int").alias("b_line"))
     both = parted.where("is_split and b <> ''").select("page_id", "line_no", "a", F.col("joined").alias("word"), F.length("a").alias("head"), "b_page", "b_line")
     odd = odd.unionByName(both)
     misread = judged(odd.select("word").distinct())

@@ -188,6 +188,28 @@ def test_all_outer_lines_are_compared(spark, monkeypatch):
         assert {k for _, k in got} == set(want) and all(math.isclose(got["s", x], want[x]) for x in want)
 
 
+def test_the_editor_decides_what_is_joined(spark, monkeypatch):
+    """Compounds parted at their hyphen are no splits; with the editor switched off they would be."""
+    rng = random.Random(9)
+    halves = [(a, b) for a in ("two", "hand", "cross", "real", "low") for b in ("pass", "bound", "checked", "time")]
+    plain = [("rehear", "sal"), ("manu", "script"), ("archi", "val"), ("note", "book"), ("lan", "tern"), ("meas", "ured")]
+    pages, split, compound = [], set(), set()
+    for k in range(60):
+        words = [rng.choice([f"{a}-{b}" for a, b in halves] + [a + b for a, b in plain] * 3 + ["the", "of"] * 10) for _ in range(70)]
+        lines = [" ".join(words[i : i + 7]) for i in range(0, 70, 7)]
+        for n, (pool, cases) in ((2, (plain, split)), (6, (halves, compound))):
+            a, b = rng.choice(pool)
+            lines[n - 1], lines[n] = f"{lines[n - 1]} {a}-", f"{b} {lines[n]}"
+            cases.add((k, n))
+        pages.append(page(k, lines))
+    df = spark.createDataFrame(pages, "page_id long, image string, scan string, page_no int, lang string, mean_conf double, scanned_at timestamp, content string")
+    found = lambda: {(r.page_id, r.line_no) for r in scans.repair(df)[0].where("kind = 'split'").collect()}
+    assert found() == split
+    model = scans.editor_model
+    monkeypatch.setattr(scans, "editor_model", lambda rare, frequent, ends: model(rare, frequent, []))
+    assert found() >= compound
+
+
 PAGES = "page_id long, image string, scan string, page_no int, lang string, mean_conf double, scanned_at timestamp, content string"
 
 

@@ -366,37 +366,57 @@ def _hyphened(line: str) -> tuple[str, str] | None:
     return (m.group(1).lstrip(EDGE), m.group(2)) if m else None
 
 
-#: White space, and the hyphened part of a word at a line's end, for the JVM.
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: White space spelt out, as the JVM is slow to look classes up, and a hyphened part of a word at a line's end.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+SPACE = f"[{BLANKS}]+"
 END = r"(?U)[\w@~|!][\-‐¬\xad]$"
 
 
-def _lines() -> Column:
-    """The text lines of a page without what is away: array of (line_no, line), blank ones left out, no white space at the ends."""
+def _with_lines(p: DataFrame, *columns: str) -> DataFrame:
+    """The columns, and lines: array of (line_no, line, whether it ends inside a word) of a page's text, without what is away, blank lines and white space at the ends."""
     away = F.coalesce("away", F.array().cast("array<int>"))
-    all_ = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("n"), F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("x")))
-    return F.filter(all_, lambda x: (x["x"] != "") & ~F.array_contains(away, x["n"]))
+    ends = lambda x: F.right(x, F.lit(1)).isin(*HYPHENS) & x.rlike(END)
+    trimmed = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("n"), F.btrim(x, F.lit(BLANKS)).alias("x")))
+    lines = F.filter(trimmed, lambda x: (x["x"] != "") & ~F.array_contains(away, x["n"]))
+    return p.select(*columns, F.transform(lines, lambda x: F.struct(x["n"].alias("n"), x["x"].alias("x"), ends(x["x"]).alias("cut"))).alias("lines"))
 
 
-def _word_counts(p: DataFrame) -> DataFrame:
-    """(word, n) of whole words, and of what stands before a word's hyphen; parts of words at line ends and after them are left out."""
-    text = F.array_join(F.transform(_lines(), lambda x: x["x"]), "\n")
-    whole = F.regexp_replace(text, r"(?U)\S*[\w@~|!][\-‐¬\xad](?:\n\s*\S+|$)", " ")
-    tokens = p.select(F.explode(F.split(whole, SPACE)).alias("t")).select(F.lower(F.btrim("t", F.lit(EDGE))).alias("word")).where("word <> ''")
-    counted = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    part = F.regexp_extract("word", r"(?s)^(.[^-]*-).*.$", 1)
-    inner = counted.where(F.contains(F.expr("substring(word, 2, length(word) - 2)"), F.lit("-"))).select(part.alias("word"), "n")
-    return counted.unionByName(inner).groupBy("word").agg(F.sum("n").alias("n"))
+def _but_last(words: Column) -> Column:
+    return F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+
+
+def _token_counts(p: DataFrame) -> DataFrame:
+    """(t, n) of what stands between white space; parts of words at line ends and after them are left out."""
+
+    def whole(line: Column, i: Column) -> Column:
+        words = F.split(line["x"], SPACE)
+        words = F.when(line["cut"], _but_last(words)).otherwise(words)
+        return F.when((i > 0) & F.coalesce(F.get("lines", i - 1)["cut"], F.lit(False)), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+
+    return _with_lines(p).select(F.explode(F.flatten(F.transform("lines", whole))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _word_of(t: str) -> Column:
+    return F.lower(F.btrim(F.col(t), F.lit(EDGE)))
+
+
+def _word_counts(tokens: DataFrame) -> DataFrame:
+    """(word, n) of whole words, and of what stands before a word's hyphen."""
+    counted = tokens.select(_word_of("t").alias("word"), "n").where("word <> ''")
+    inner = F.contains(F.expr("substring(word, 2, length(word) - 2)"), F.lit("-"))
+    part = F.expr("substring(word, 1, locate('-', word, 2))")
+    both = F.when(inner, F.array("word", part)).otherwise(F.array("word"))
+    return counted.select(F.explode(both).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _occurrences(p: DataFrame, sure: DataFrame) -> DataFrame:
-    """(page_id, line_no, kind, a, word) of words that aren't surely right; kind 'word0' for the first of a line."""
-    at = p.select("page_id", F.explode(_lines()).alias("l"))
+    """(page_id, line_no, kind, a, word) of words that aren't surely right; kind 'word0' for the first of a line. sure: t as it stands between white space."""
+    at = _with_lines(p, "page_id").select("page_id", F.explode("lines").alias("l"))
     words = F.split("l.x", SPACE)
-    words = F.when(F.col("l.x").rlike(END), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
-    t = at.select("page_id", F.col("l.n").alias("line_no"), F.posexplode(words).alias("k", "t")).select("page_id", "line_no", "k", F.btrim("t", F.lit(EDGE)).alias("a"))
-    t = t.where((F.col("a") != "") & ~F.col("a").rlike(r"(?U)^[\d\s.,:/()–-]+$")).withColumn("word", F.lower("a"))
-    t = t.join(F.broadcast(sure), "word", "left_anti")  # at most FREQUENT words
+    t = at.select("page_id", F.col("l.n").alias("line_no"), F.posexplode(F.when(F.col("l.cut"), _but_last(words)).otherwise(words)).alias("k", "t"))
+    t = t.join(F.broadcast(sure), "t", "left_anti")  # at most FREQUENT words
+    t = t.select("page_id", "line_no", "k", F.btrim("t", F.lit(EDGE)).alias("a"), _word_of("t").alias("word")).where("word <> ''")
+    t = t.where(~F.col("a").rlike(r"(?U)^[\d\s.,:/()–-]+$"))
     return t.select("page_id", "line_no", F.when(F.col("k") == 0, "word0").otherwise("word").alias("kind"), "a", "word")
 
 
@@ -427,7 +447,8 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     away = cut(furniture(p))
     lists = away.groupBy("page_id").agg(F.collect_list("line_no").alias("away"))  # four lines a page at most
     p = p.join(lists, "page_id", "left")
-    words = cut(_word_counts(p))
+    tokens = cut(_token_counts(p))
+    words = cut(_word_counts(tokens))
     total = words.agg(F.sum("n")).first()[0] or 0
     # a word that makes up a hundred-thousandth of the text is no accident
     usual = max(5.0, total * 1e-5)  # only tells which words the editor is fitted to
@@ -475,7 +496,8 @@ def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the most frequent words that are read rightly go to the workers, so that only the others are joined
     usually = words.orderBy(F.desc("n"), "word").limit(FREQUENT)
     right = cut(usually.select("word").join(judged(usually.select("word").repartition(pages.sparkSession.sparkContext.defaultParallelism)).select("word"), "word", "left_anti"))
-    odd = cut(_occurrences(p, right))
+    as_written = tokens.withColumn("word", _word_of("t")).join(right, "word", "left_semi").orderBy(F.desc("n"), "t").limit(FREQUENT).select("t")
+    odd = cut(_occurrences(p, cut(as_written)))
     # a line's first word may be the rest of the last one before
     over = ends.select(F.col("b_page").alias("page_id"), F.col("b_line").alias("line_no")).distinct()
     alone = odd.where("kind = 'word0'").join(over, ["page_id", "line_no"], "left_anti").select(*odd.columns).unionByName(odd.where("kind = 'word'"))

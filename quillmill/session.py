@@ -74,12 +74,3 @@ def discard(df: DataFrame) -> None:
     jvm, path = df.sparkSession._jvm, df._qm_settled
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over as many tasks as there are cores, where a scan of few row groups has fewer; otherwise df as it is. For costly Python only."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in ("Join", "Aggregate", "Sort", "Window", "Repartition", "Distinct")):
-        return df  # to count its partitions would run it
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

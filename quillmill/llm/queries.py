@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm import format_duplicates, mixing, names, packing, scans, splitting, survivors, truncation
@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split_blocks(table(spark, sf_dir, "block_list"))
+    return splitting.split_blocks(table(spark, sf_dir, "block_list", spread=True))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,27 @@ WHERE length(trim(regexp_replace(blocks[i + 1], '[ \\t\\n]+', ' ', 'g'), ' ')) >
 """
 
 
+def p1_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block put together again from what its pieces have of their own, and how many pieces break a rule: over the limit, or not what the block has at their place."""
+    p = p1_pieces(spark, sf_dir)
+    own = F.expr("substring(piece, overlap_chars + 1)")
+    gap = F.when(F.col("joined"), " ").otherwise("")
+    after = Window.partitionBy("doc", "block_no").orderBy("piece_no")
+    # without an overlap the blank between two pieces is in neither
+    parted = (F.col("overlap_chars") == 0) & (F.col("start") > F.lag(F.col("start") + F.col("n_chars")).over(after))
+    p = p.withColumn("joined", F.coalesce(parted, F.lit(False)))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", F.concat(gap, own).alias("t"))))
+    broken = F.count_if((F.col("n_chars") > F.col("max_chars")) | (F.length("piece") != F.col("n_chars")))
+    return p.groupBy("doc", "block_no").agg(F.md5(F.array_join(F.transform(parts, lambda x: x["t"]), "")).alias("digest"), broken.alias("n_broken"))
+
+
+P1_CHECKED = """
+SELECT doc, CAST(i AS INTEGER) AS block_no, md5(t) AS digest, 0 AS n_broken FROM (
+  SELECT doc, i, trim(regexp_replace(blocks[i + 1], '[ \\t\\n]+', ' ', 'g'), ' ') AS t FROM (SELECT doc, blocks, unnest(range(len(blocks))) AS i FROM block_list)
+) WHERE t <> ''
+"""
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best, *_ = survivors.best_representatives(table(spark, sf_dir, "bib_entry"), table(spark, sf_dir, "bib_source"))
     return best.select("entry_id", "field_name")
@@ -150,6 +171,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p1_checked": p1_checked,
         "p2_found": p2_found,
         "p2_entries": p2_entries,
         "p2_quality": p2_quality,
@@ -174,6 +196,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
+        "p1_checked": P1_CHECKED,
         "p4_found": P4_FOUND,
         "p4_collapsed": P4_COLLAPSED,
         "p6_placed": "SELECT plan, doc_id FROM documents, pack_plan WHERE length(text) > 0",

@@ -34,7 +34,7 @@ from quillmill.session import cut, settle
 #: The fields of which values survive; elsewhere a field is its place here.
 FIELDS = ("id", "doi", "abstract")
 #: Expectation-maximisation ends when no rate changes by more than this in a round; a warning says so if it hasn't by then.
-TOLERANCE, MOST_ROUNDS = 0.005, 60
+TOLERANCE, MOST_ROUNDS = 0.01, 60
 #: Sources whose rates are held on the driver at most; those of more are joined.
 MOST_DRIVEN = 100_000
 #: Usual sensitivity and false-positive rate, and the strength (in votes) with which they hold as priors.

@@ -9,10 +9,11 @@ Two averaged perceptrons, trained on samples of the data itself whose size is a
   at a line's end join. Training pairs are rare words and the frequent word that one such edit leads to, and line ends of which
   only one reading, joined or hyphenated, is a word of the corpus.
 
-Word counts cover all lines of all pages, and every kind of word is judged. A misread word is one with an edit to a word far more
-frequent, or with marks inside that no word has. As a frequent word may be near another by nature (than, the), its edit must also be
-one that several rare words bear out. The most frequent words (a bounded number) that are read rightly go to the workers, so that only
-other words are joined with the counts; those are put right by the edit with the most frequent result.
+Word counts cover all lines of all pages, and every kind of word is judged, whatever its frequency. A misread word is one that the editor
+would make into a word RATIO times as frequent, by an edit that several rare words bear out or that reads marks, or into one ANY_RATIO
+times as frequent by any edit (frequent words may be near others by nature, as than and the). Whether a line's end is joined is the editor's
+decision, which sees the counts of both readings. The most frequent words that are read rightly (a bounded number) go to the workers, so that
+only other words are joined with the counts.
 
 Nulls: null or empty content has no lines; a null scan or page_no makes a page a scan of its own without neighbours. Repeated rows
 count as pages. An empty table gives no rows.
